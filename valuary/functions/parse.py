@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings that mean "no number".
 NULL_TOKENS = ("", "nan", "none", "null", "n/a", "na")
@@ -17,13 +18,33 @@ def to_number(c: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """A column as double: text is parsed, numeric columns are only freed of NaN, absent ones are null."""
+    if name not in df.columns:
+        return F.lit(None).cast("double")
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return nan_to_null(F.col(name).cast("double"))
+    if isinstance(dtype, T.NumericType):
+        return F.col(name).cast("double")
+    return to_number(F.col(name))
+
+
+def day_of(df: DataFrame, name: str, strict: bool = False) -> Column:
+    """A column as date: text is parsed, dates and timestamps are only cast, absent ones are null."""
+    if name not in df.columns:
+        return F.lit(None).cast("date")
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return to_day(F.col(name), strict)
+    return F.col(name).cast("date")
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def to_int_in_range(c: Column, low: int, high: int | None = None) -> Column:
-    """Whole number within [low, high], else null."""
-    number = to_number(c)
+def int_in_range(number: Column, low: int, high: int | None = None) -> Column:
+    """A double that is a whole number within [low, high] as long, else null."""
     ok = (number == F.floor(number)) & (number >= low)
     if high is not None:
         ok = ok & (number <= high)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuary.functions.parse import to_int_in_range, to_number
+from valuary.functions.parse import int_in_range, number_of
 from valuary.functions.property import borough_key, upper_key, zip5
 from valuary.operators.identity import keep_first
 
@@ -35,12 +35,12 @@ def _raw(df: DataFrame, name: str) -> Column:
 
 def catalogue_records(df: DataFrame) -> DataFrame:
     """Normalised catalogue rows; rows without usable coordinates or address are dropped."""
-    lat, lng = to_number(_raw(df, "latitude")), to_number(_raw(df, "longitude"))
+    lat, lng = number_of(df, "latitude"), number_of(df, "longitude")
     address = _text(df, "address")
     fallback = F.concat_ws(
         ":", F.coalesce(_text(df, "bbl"), F.lit("unknown_bbl")), F.upper(address), F.coalesce(_text(df, "sale_date"), F.lit("na"))
     )
-    sqft = to_number(_raw(df, "gross_square_feet"))
+    sqft = number_of(df, "gross_square_feet")
     # Names that differ from the raw columns keep every expression bound to the raw values.
     new = {
         "_property_id": F.coalesce(_text(df, "property_id"), fallback),
@@ -52,9 +52,9 @@ def catalogue_records(df: DataFrame) -> DataFrame:
         "_lat": lat,
         "_lng": lng,
         "_gross_square_feet": F.when(sqft > 0, sqft),
-        "_year_built": to_int_in_range(_raw(df, "year_built"), 1800, 2100),
-        "_residential_units": to_int_in_range(_raw(df, "residential_units"), 0),
-        "_total_units": to_int_in_range(_raw(df, "total_units"), 1),
+        "_year_built": int_in_range(number_of(df, "year_built"), 1800, 2100),
+        "_residential_units": int_in_range(number_of(df, "residential_units"), 0),
+        "_total_units": int_in_range(number_of(df, "total_units"), 1),
         "_building_class": _text(df, "building_class"),
         "_sale_date": _text(df, "sale_date"),
     }

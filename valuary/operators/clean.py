@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valuary.functions.parse import to_day, to_number
+from valuary.functions.parse import day_of, number_of
 from valuary.functions.property import SEGMENT_BY_PREFIX, borough_name, category_prefix, segment
 from valuary.schemas import CANONICAL_OPTIONAL, CANONICAL_REQUIRED, TRAINING_REQUIRED
 
@@ -31,7 +31,7 @@ def standardise_names(df: DataFrame, renames: dict[str, str] = SALES_RENAMES) ->
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str] = NUMERIC_TEXT_COLUMNS) -> DataFrame:
-    return df.withColumns({c: to_number(F.col(c)) for c in columns if c in df.columns})
+    return df.withColumns({c: number_of(df, c) for c in columns if c in df.columns})
 
 
 def market_sales(df: DataFrame, floor: float = MIN_MARKET_PRICE) -> DataFrame:
@@ -48,7 +48,7 @@ def located_sales(df: DataFrame) -> DataFrame:
 
 def valid_parcels(df: DataFrame) -> DataFrame:
     """Parcel id as a positive long; rows without one are dropped."""
-    return df.withColumn("bbl", to_number(F.col("bbl")).cast("long")).where(F.col("bbl") > 0)
+    return df.withColumn("bbl", number_of(df, "bbl").cast("long")).where(F.col("bbl") > 0)
 
 
 def parse_sale_dates(df: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def parse_sale_dates(df: DataFrame) -> DataFrame:
     day = F.col("sale_date")
     return df.withColumns(
         {
-            "sale_date": to_day(day, strict=True),
-            "year_built": F.coalesce(to_number(F.col("year_built")).cast("long"), F.lit(0).cast("long")),
+            "sale_date": day_of(df, "sale_date", strict=True),
+            "year_built": F.coalesce(number_of(df, "year_built").cast("long"), F.lit(0).cast("long")),
         }
     ).withColumns({"sale_year": F.year(day), "sale_month": F.month(day), "sale_quarter": F.quarter(day)})
 
@@ -75,7 +75,7 @@ def normalise_latest_sales(df: DataFrame) -> DataFrame:
     """Display form of a sales scan: names, parsed date, borough name and a segment for every row."""
     df = standardise_names(df, {k: v for k, v in SALES_RENAMES.items() if k != "bin"})
     if "sale_date" in df.columns:
-        df = df.withColumn("sale_date", to_day(F.col("sale_date")))
+        df = df.withColumn("sale_date", day_of(df, "sale_date"))
     name = borough_name(F.col("borough")) if "borough" in df.columns else F.lit("Unknown")
     df = df.withColumn("borough_name", name)
     if "property_segment" not in df.columns:
@@ -108,15 +108,15 @@ def to_canonical(df: DataFrame, mapping: dict | None = None) -> DataFrame:
         c: F.lit(None).cast("string") for c in (*CANONICAL_REQUIRED, *CANONICAL_OPTIONAL) if c not in out.columns
     }
     out = out.withColumns(absent) if absent else out
-    price = to_number(F.col("sale_price"))
+    price = number_of(out, "sale_price")
     return out.withColumns(
         {
-            "sale_date": to_day(F.col("sale_date")),
+            "sale_date": day_of(out, "sale_date"),
             "sale_price": F.when(price >= MIN_MARKET_PRICE, price),
-            "latitude": to_number(F.col("latitude")),
-            "longitude": to_number(F.col("longitude")),
-            "gross_square_feet": to_number(F.col("gross_square_feet")),
-            "year_built": F.coalesce(to_number(F.col("year_built")).cast("long"), F.lit(0).cast("long")),
+            "latitude": number_of(out, "latitude"),
+            "longitude": number_of(out, "longitude"),
+            "gross_square_feet": number_of(out, "gross_square_feet"),
+            "year_built": F.coalesce(number_of(out, "year_built").cast("long"), F.lit(0).cast("long")),
         }
     )
 
@@ -141,7 +141,7 @@ def prepare_training_frame(df: DataFrame, min_rows: int = 50) -> DataFrame:
     missing = [c for c in TRAINING_REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"training data lacks required columns: {missing}")
-    frame = df.withColumns({"sale_date": to_day(F.col("sale_date")), "sale_price": to_number(F.col("sale_price"))})
+    frame = df.withColumns({"sale_date": day_of(df, "sale_date"), "sale_price": number_of(df, "sale_price")})
     frame = frame.where(
         F.col("sale_date").isNotNull() & F.col("h3_index").isNotNull() & (F.col("sale_price") >= MIN_MARKET_PRICE)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuary.functions.parse import lookup, to_number, token_or
+from valuary.functions.parse import lookup, number_of, token_or
 from valuary.functions.property import borough_digits, segment
 from valuary.operators.ordered import at_or_before, boundary_rows, group_quantiles
 from valuary.session import lookup_join
@@ -52,7 +52,7 @@ def proxy_score(df: DataFrame) -> Column:
     """Price level guessed from size, location, age, units and borough; null when one of the first three is."""
 
     def number(name: str) -> Column:
-        return to_number(F.col(name)) if name in df.columns else F.lit(None).cast("double")
+        return number_of(df, name)
 
     def damped(c: Column) -> Column:
         return F.log1p(F.when(c < 0, F.lit(0.0)).otherwise(c))

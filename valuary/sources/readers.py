@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valuary.functions.parse import to_day, to_number
+from valuary.functions.parse import day_of, number_of
 from valuary.schemas import LATEST_SALES_COLUMNS, TRAINING_COLUMNS
 from valuary.session import lookup_join
 
@@ -44,7 +44,7 @@ def read_yearly(
     parts = []
     for year in range(first_year, last_year + 1):
         part = read_csv(spark, path_of_year.format(year=year))
-        parts.append(part.where(F.year(to_day(F.col(date_col))) == year))
+        parts.append(part.where(F.year(day_of(part, date_col)) == year))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -61,9 +61,9 @@ def coordinate_coverage(df: DataFrame) -> DataFrame:
 def coordinates_table(df: DataFrame) -> DataFrame:
     """Parcel coordinates from a side table: bbl, latitude, longitude; rows without latitude are dropped."""
     out = df.select(
-        to_number(F.col("bbl")).cast("long").alias("bbl"),
-        to_number(F.col("latitude")).alias("latitude"),
-        to_number(F.col("longitude")).alias("longitude"),
+        number_of(df, "bbl").cast("long").alias("bbl"),
+        number_of(df, "latitude").alias("latitude"),
+        number_of(df, "longitude").alias("longitude"),
     )
     return out.where(F.col("latitude").isNotNull())
 
