@@ -175,8 +175,8 @@ DISTANCE_SQL = """sqrt(power((latitude - 40.7831e0) * 111e0, 2)
     + power((longitude - (-73.9712e0)) * 111e0 * cos(radians(40.7831e0)), 2))"""
 CELL_SQL = """concat(cast(cast(floor(latitude / 0.01e0) as bigint) as varchar), ':',
     cast(cast(floor(longitude / 0.01e0) as bigint) as varchar))"""
-SCORE_SQL = """0.45e0 * ln(1 + greatest(gross_square_feet, 0)) - 0.30e0 * ln(1 + greatest(distance_to_center_km, 0))
-    - 0.15e0 * ln(1 + greatest(building_age, 0))
+SCORE_SQL = """0.45e0 * ln(1 + case when gross_square_feet < 0 then 0 else gross_square_feet end)
+    - 0.30e0 * ln(1 + distance_to_center_km) - 0.15e0 * ln(1 + building_age)
     + 0.05e0 * ln(1 + greatest(coalesce(total_units, 0), coalesce(residential_units, 0), 0))
     + 0.05e0 * case borough when 1 then 0.35e0 when 2 then -0.12e0 when 3 then 0.08e0 when 4 then 0.04e0 when 5 then -0.15e0 else 0e0 end"""
 APE_SQL = "case when sale_price > 0 then abs((predicted_price - sale_price) / sale_price) end"

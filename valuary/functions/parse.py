@@ -75,6 +75,11 @@ def round2(c: Column) -> Column:
     return F.round(c, 2)
 
 
+def fixed4(c: Column) -> Column:
+    """Number as text with four decimals, rounded from its exact binary value."""
+    return F.replace(F.format_number(c, 4), F.lit(","), F.lit(""))
+
+
 def lookup(mapping: dict, key: Column) -> Column:
     """Constant map lookup, null where the key is absent."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from valuary.functions.parse import fixed4
 from valuary.operators.evaluate import evaluate_predictions
 
 # Limits of the performance monitor and of the retrain policy.
@@ -47,11 +48,11 @@ def retrain_decision(models: DataFrame, as_of: datetime, limits: dict[str, float
             F.when(F.col("performance_status") == "alert", "performance monitor is alert"),
             F.when(
                 F.col("ppe10") < limits["min_ppe10"],
-                F.format_string(f"overall PPE10 below threshold (%.4f < {limits['min_ppe10']:.4f})", F.col("ppe10")),
+                F.format_string(f"overall PPE10 below threshold (%s < {limits['min_ppe10']:.4f})", fixed4(F.col("ppe10"))),
             ),
             F.when(
                 F.col("mdape") > limits["max_mdape"],
-                F.format_string(f"overall MdAPE above threshold (%.4f > {limits['max_mdape']:.4f})", F.col("mdape")),
+                F.format_string(f"overall MdAPE above threshold (%s > {limits['max_mdape']:.4f})", fixed4(F.col("mdape"))),
             ),
             F.when(
                 alerts > limits["max_drift_alerts"],
@@ -80,10 +81,15 @@ def is_trial(name: Column) -> Column:
 
 
 def latest_run(
-    runs: DataFrame, by: Sequence[str] = (), name: str = "run_name", time: str = "started_at", prefer_production: bool = True
+    runs: DataFrame,
+    by: Sequence[str] = (),
+    name: str = "run_name",
+    time: str = "started_at",
+    tie_break: str = "run_id",
+    prefer_production: bool = True,
 ) -> DataFrame:
     """Newest run per group of `by`, real runs before trial ones."""
     order = [is_trial(F.col(name)).asc()] if prefer_production else []
     keyed = runs.withColumn("_all", F.lit(1)) if not by else runs
-    w = Window.partitionBy(*(by or ["_all"])).orderBy(*order, F.col(time).desc(), F.col(name).desc())
+    w = Window.partitionBy(*(by or ["_all"])).orderBy(*order, F.col(time).desc(), F.col(tie_break).desc())
     return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_all")
