@@ -11,6 +11,7 @@ from valuary.operators.clean import clean_sales
 from valuary.operators.features import engineer_features
 from valuary.operators.identity import add_property_id, add_sales_history, deduplicate_sales
 from valuary.operators.tiers import assign_segments
+from valuary.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,20 @@ PRICE_CLASS = """case when sale_price < 25000e0 then 'entry' when sale_price < 5
 SPLIT_DAY = "2024-01-01"
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales feed as a landed table: joined once per session and folder, then scanned by column."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        path = scratch_path(spark, "raw-sales")
+        join_sales(spark, sf_dir).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
+def join_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Property sales: lineitem with its order, part, customer and nation; every 20th order appears twice."""
     copies = F.expr("case when l_orderkey % 20 = 0 then array(0, 1) else array(0) end")
     lines = table(spark, sf_dir, "lineitem").withColumn("copy", F.explode(copies))

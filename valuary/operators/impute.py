@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuary.operators.ordered import group_quantiles
-from valuary.session import lookup_join, materialise
+from valuary.session import MAX_LOOKUP_ROWS, materialise
 
 # What is used when a table has no known value at all.
 DEFAULT_SQFT = 1200.0
@@ -31,6 +31,7 @@ def _fill_from_levels(
     rows = known.select(F.explode(F.array_compact(F.array(*entries))).alias("g"), F.col(value).alias("v"))
     rows = rows.select("g.level", "g.k1", "g.k2", "v")
     medians = materialise(group_quantiles(rows, ["level", "k1", "k2"], "v", {"median": 0.5}))
+    small = medians.count() <= MAX_LOOKUP_ROWS
 
     out = df
     fill, level = None, None
@@ -47,7 +48,7 @@ def _fill_from_levels(
             *[F.col(f"k{j + 1}").alias(k) for j, k in enumerate(ks)], F.col("median").alias(f"_m{at}")
         )
         out = out.withColumns({k: c.cast("string") for k, c in zip(ks, cols)})
-        out = lookup_join(out, table, ks).drop(*ks)
+        out = out.join(F.broadcast(table) if small else table, ks, "left").drop(*ks)
         has = F.col(f"_m{at}").isNotNull()
         fill = F.when(has, F.col(f"_m{at}")) if fill is None else fill.when(has, F.col(f"_m{at}"))
         level = F.when(has, name) if level is None else level.when(has, name)

@@ -279,7 +279,6 @@ def ks_distance(
             "cur_n",
             (F.col("ref") + F.col("cur")).alias("size"),
         )
-        opened = materialise(opened)
         number, largest = _size_of(opened, "size")
         if number == 0:
             break

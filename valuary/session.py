@@ -64,6 +64,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """A materialised table marked for broadcast when its counted size is within `max_rows`."""
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
@@ -76,7 +81,4 @@ def lookup_join(
     The table is usually an aggregate of `df` itself. Left to the planner it would be estimated as
     large as its input and the wide side would be shuffled once per lookup.
     """
-    table = materialise(table)
-    if table.count() <= max_rows:
-        table = F.broadcast(table)
-    return df.join(table, on, how)
+    return df.join(broadcast_if_small(materialise(table), max_rows), on, how)
