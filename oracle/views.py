@@ -11,11 +11,15 @@ from valuary.operators.clean import clean_sales
 from valuary.operators.features import engineer_features
 from valuary.operators.identity import add_property_id, add_sales_history, deduplicate_sales
 from valuary.operators.tiers import assign_segments
-from valuary.session import scratch_path
+from valuary.session import scratch_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in LARGE else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Tables whose rows carry the work; one small file of them would otherwise be a single task.
+LARGE = ("lineitem", "documents", "conversations")
 
 
 # The fixture mapping, in expressions both engines read the same way. `copy` is 1 on injected duplicates.

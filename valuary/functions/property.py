@@ -49,18 +49,20 @@ def segment(category: Column) -> Column:
     return F.coalesce(lookup(SEGMENT_BY_PREFIX, category_prefix(category)), F.lit("OTHER"))
 
 
+# An absent-value word standing alone, or a unit marker in front, is dropped; the rest must not be a street word.
+_MARKER = r"^(?:(?:NAN|NONE|NULL)$|(?:APT|APARTMENT|UNIT)\s*)"
+_UNIT = rf"^(?!(?:{'|'.join(STREET_WORDS)})$).+$"
+_STRICT_UNIT = rf"^(?!(?:{'|'.join(STREET_WORDS)})$)(?:PH.*|.*\d.*)$"
+
+
 def unit_token(c: Column, strict: bool) -> Column:
     """Normalised unit such as 3B or PH-2; null for blanks and street words.
 
     `strict` also demands a digit or a PH prefix, for units guessed from an address.
     """
-    raw = F.upper(F.trim(c))
-    bare = F.ltrim(F.regexp_replace(raw, r"^(APT|APARTMENT|UNIT)\s*", ""), F.lit("#"))
+    bare = F.regexp_replace(F.upper(F.trim(c)), _MARKER, "")
     token = F.regexp_replace(bare, r"[^A-Z0-9\-]", "")
-    ok = ~raw.isin("", "NAN", "NONE", "NULL") & (token != "") & ~token.isin(*STREET_WORDS)
-    if strict:
-        ok = ok & (token.rlike(r"\d") | token.startswith("PH"))
-    return F.when(ok, token)
+    return F.nullif(F.regexp_extract(token, _STRICT_UNIT if strict else _UNIT, 0), F.lit(""))
 
 
 def unit_from_address(address: Column) -> Column:

@@ -34,8 +34,17 @@ def coerce_numbers(df: DataFrame, columns: Sequence[str] = NUMERIC_TEXT_COLUMNS)
     return df.withColumns({c: number_of(df, c) for c in columns if c in df.columns})
 
 
+def _is_type(df: DataFrame, name: str, kind: type) -> bool:
+    return name in df.columns and isinstance(df.schema[name].dataType, kind)
+
+
 def market_sales(df: DataFrame, floor: float = MIN_MARKET_PRICE) -> DataFrame:
-    return df.where(F.col("sale_price") >= floor)
+    """Sales at or above the market floor. On a typed column the comparison reaches the file scan."""
+    price = F.col("sale_price")
+    enough = price >= floor
+    if _is_type(df, "sale_price", T.FractionalType):
+        enough = enough & ~F.isnan(price)
+    return df.where(enough)
 
 
 def residential_sales(df: DataFrame) -> DataFrame:
@@ -48,7 +57,9 @@ def located_sales(df: DataFrame) -> DataFrame:
 
 def valid_parcels(df: DataFrame) -> DataFrame:
     """Parcel id as a positive long; rows without one are dropped."""
-    return df.withColumn("bbl", number_of(df, "bbl").cast("long")).where(F.col("bbl") > 0)
+    if not _is_type(df, "bbl", T.IntegralType):
+        df = df.withColumn("bbl", number_of(df, "bbl").cast("long"))
+    return df.withColumn("bbl", F.col("bbl").cast("long")).where(F.col("bbl") > 0)
 
 
 def parse_sale_dates(df: DataFrame) -> DataFrame:
@@ -64,8 +75,11 @@ def parse_sale_dates(df: DataFrame) -> DataFrame:
 
 def clean_sales(df: DataFrame) -> DataFrame:
     """Names, numbers and dates normalised; only located residential market sales of valid parcels kept."""
-    df = coerce_numbers(standardise_names(df))
-    df = market_sales(df)
+    df = standardise_names(df)
+    if _is_type(df, "sale_price", T.NumericType):
+        df = coerce_numbers(market_sales(df))
+    else:
+        df = market_sales(coerce_numbers(df))
     if "building_class_category" in df.columns:
         df = residential_sales(df)
     return parse_sale_dates(valid_parcels(located_sales(df)))

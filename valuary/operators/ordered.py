@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from valuary.session import MAX_LOOKUP_ROWS, materialise
 
@@ -33,14 +34,23 @@ def _inner_cell(v: Column, lo: Column, hi: Column) -> Column:
     return F.floor((v - lo) / (hi - lo) * SPLIT_CELLS)
 
 
-def _usable(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c.cast("double"))
+def _values(df: DataFrame, keys: Sequence[str], v: Column, counts: dict[str, int]) -> DataFrame:
+    """Keys, the value as `v` with NaN as null, and constant counts per row.
+
+    Null values are not filtered here: the optimizer would copy the whole value expression into a
+    filter at the scan. They meet in a cell of their own, which `_cells` drops.
+    """
+    rows = df.select(*keys, v.alias("v"))
+    if isinstance(rows.schema["v"].dataType, (T.DoubleType, T.FloatType)):
+        rows = rows.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    return rows.withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
 
 
 def _cells(rows: DataFrame, by: Sequence[Column | str], cell: Column, counts: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*by, cell.alias("cell")).agg(
+    cells = rows.groupBy(*by, cell.alias("cell")).agg(
         *[F.sum(c).alias(c) for c in counts], F.min("v").alias("lo"), F.max("v").alias("hi")
     )
+    return cells.where(F.col("lo").isNotNull())
 
 
 def _with_before(cells: DataFrame, by: Sequence[str], counts: Sequence[str]) -> DataFrame:
@@ -53,7 +63,8 @@ def _join_open(rows: DataFrame, opened: DataFrame, keys: Sequence[str], small: b
     """Rows whose value lies in an opened cell of their group (null keys match null keys)."""
     side = opened.withColumnsRenamed({k: f"_{k}" for k in keys})
     match = [rows[k].eqNullSafe(side[f"_{k}"]) for k in keys]
-    match.append((rows["v"] >= side["open_lo"]) & (rows["v"] <= side["open_hi"]))
+    within = (rows["v"] >= side["open_lo"]) & (rows["v"] <= side["open_hi"])
+    match.append(F.coalesce(within, F.lit(False)))
     joined = rows.join(F.broadcast(side) if small else side, reduce(lambda a, b: a & b, match))
     return joined.drop(*[f"_{k}" for k in keys])
 
@@ -78,7 +89,7 @@ def order_statistics(
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, v.alias("v")).where(_usable(F.col("v"))).withColumn("n", F.lit(1).cast("long"))
+    rows = _values(df, keys, v, {"n": 1})
 
     def wanted(total: Column) -> Column:
         return F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("r")) for i, r in enumerate(ranks(total))])
@@ -146,11 +157,11 @@ def group_quantiles(
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     if approx:
-        rows = df.select(*keys, v.alias("v")).where(_usable(F.col("v")))
-        return rows.groupBy(*keys).agg(
+        sketch = _values(df, keys, v, {}).groupBy(*keys).agg(
             *[F.percentile_approx("v", q, 10_000).cast("double").alias(a) for a, q in quantiles.items()],
-            F.count("*").alias("n"),
+            F.count("v").alias("n"),
         )
+        return sketch.where("n > 0")
 
     def ranks(n: Column) -> list[Column]:
         at = [F.lit(float(q)) * (n - 1) for q in quantiles.values()]
@@ -230,11 +241,10 @@ def ks_distance(
     reference_keys = list(reference_keys or keys)
     counts = ["ref", "cur"]
 
-    def shaped(df: DataFrame, by: list[str], ref: int) -> DataFrame:
-        rows = df.select(*by, F.col(value).alias("v")).where(_usable(F.col("v")))
-        return rows.withColumns({"ref": F.lit(ref).cast("long"), "cur": F.lit(1 - ref).cast("long")})
-
-    sides = [(shaped(reference, reference_keys, 1), reference_keys), (shaped(current, keys, 0), keys)]
+    sides = [
+        (_values(reference, reference_keys, F.col(value), {"ref": 1, "cur": 0}), reference_keys),
+        (_values(current, keys, F.col(value), {"ref": 0, "cur": 1}), keys),
+    ]
     cur_cells = _cells(sides[1][0], keys, first_cell(F.col("v")), counts)
     ref_cells = _cells(sides[0][0], reference_keys, first_cell(F.col("v")), counts)
     if reference_keys != keys:

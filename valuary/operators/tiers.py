@@ -55,7 +55,8 @@ def proxy_score(df: DataFrame) -> Column:
         return number_of(df, name)
 
     def damped(c: Column) -> Column:
-        return F.log1p(F.when(c < 0, F.lit(0.0)).otherwise(c))
+        # (c + |c|) / 2 is the non-negative part of c, null for null, and keeps the generated code small.
+        return F.log1p((c + F.abs(c)) / 2)
 
     zero = F.lit(0.0)
     units = F.greatest(F.coalesce(number("total_units"), zero), F.coalesce(number("residential_units"), zero))

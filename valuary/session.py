@@ -57,6 +57,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores when its scan has fewer partitions than that; larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a wide intermediate table to the shared folder and read it back: later passes scan only their columns."""
     path = scratch_path(df.sparkSession, name)
