@@ -9,7 +9,7 @@ from oracle.registry import check
 from valuary.functions import errors
 from valuary.functions.parse import token_or
 from valuary.operators import drift, evaluate, tiers
-from valuary.operators.ordered import group_quantiles
+from valuary.operators.ordered import cumulative_counts, group_quantiles
 
 # ---------------------------------------------------------------- tier proxy
 
@@ -242,17 +242,13 @@ def d3(spark, d):
 
 @check(
     "w9_cumulative_share",
-    f"""{_VALS}, cnt as (select feature, v, count(*) as n from vals where feature in ('year_built', 'total_units') group by all)
+    f"""{_VALS}, cnt as (select feature, v, count(*) as n from vals group by all)
         select feature, v, round(sum(n) over (partition by feature order by v) / cast(sum(n) over (partition by feature) as double), 6) as share from cnt""",
 )
 def w9(spark, d):
-    from pyspark.sql import Window
-
-    values = drift.long_features(V.featured(spark, d), ["year_built", "total_units"]).where("v is not null")
-    counts = values.groupBy("feature", "v").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("n").over(running) / F.sum("n").over(Window.partitionBy("feature"))
-    return counts.select("feature", "v", F.round(share, 6).alias("share"))
+    values = drift.long_features(V.featured(spark, d), _WATCHED)
+    out = cumulative_counts(values, ["feature"], "v")
+    return out.select("feature", F.col("value").alias("v"), F.round(F.col("through") / F.col("total"), 6).alias("share"))
 
 
 @check(

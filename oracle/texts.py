@@ -210,7 +210,7 @@ def st1(spark, d):
     "st2_sessions",
     """select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started_at, strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M:%S') as expires_at, count(*) as turns from
        (select *, sum(case when gap then 1 else 0 end) over (partition by user_id order by ts rows between unbounded preceding and current row) as sid from
-         (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute, true) as gap from events)) group by user_id, sid""",
+         (select user_id, ts, coalesce(ts > lag(ts) over (partition by user_id order by ts) + interval 30 minute, true) as gap from events)) group by user_id, sid""",
 )
 def st2(spark, d):
     out = stream_usage.sessions(V.table(spark, d, "events"), "user_id", "ts")

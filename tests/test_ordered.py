@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from valuary.operators.ordered import boundary_rows, group_quantiles, ks_distance, order_statistics
+from valuary.operators.ordered import boundary_rows, cumulative_counts, group_quantiles, ks_distance, order_statistics
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,11 @@ def test_ks_with_shared_reference(spark):
     got = {r["p"]: r["ks"] for r in ks_distance(ref_df, cur_df, ["f", "p"], ["f"], max_cell_rows=20).collect()}
     for p, vs in cur.items():
         assert got[p] == pytest.approx(_ks(ref, vs), abs=1e-12)
+
+
+def test_cumulative_counts(table):
+    frame, df = table
+    got = {(r["g"], r["value"]): r["through"] for r in cumulative_counts(df, ["g"], "v").collect()}
+    part = frame[frame["g"] == "hot"].dropna()
+    for v in part["v"].unique():
+        assert got[("hot", v)] == (part["v"] <= v).sum()

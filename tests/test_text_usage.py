@@ -160,3 +160,24 @@ def test_sessions_end_after_silence(rows):
     got = stream_usage.sessions(df, "user", "ts").orderBy("started_at").collect()
     assert [r["turns"] for r in got] == [3, 1]
     assert got[0]["expires_at"] == datetime(2024, 1, 1, 10, 9)
+
+
+def test_slot_sessions_equal_session_windows(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 40)).alias("user"),
+        F.timestamp_seconds(F.lit(1700000000) + F.pmod(F.xxhash64("id"), F.lit(3_000_000))).alias("ts"),
+    )
+    got = stream_usage.sessions(df, "user", "ts")
+    want = df.groupBy("user", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("turns"))
+    want = want.select("user", F.col("s.start").alias("started_at"), F.col("s.end").alias("expires_at"), "turns")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_streamed_sessions(spark, tmp_path):
+    times = [datetime(2024, 1, 1, 9, 0), datetime(2024, 1, 1, 9, 10), datetime(2024, 1, 5, 9, 0)]
+    spark.createDataFrame([("u", t) for t in times], "user string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user string, ts timestamp").parquet(str(tmp_path / "in"))
+    writer = stream_usage.sessions(stream, "user", "ts").writeStream.outputMode("append").format("parquet")
+    query = writer.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [r["turns"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]

@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from valuary.functions.property import unit_from_address, unit_token
 from valuary.operators.skew import HOT_MIN_ROWS, HOT_SHARE, hot_keys
+from valuary.session import materialise
 
 SALE_KEY = ("property_id", "sale_date", "sale_price")
+HISTORY_COLUMNS = (
+    "sale_sequence",
+    "is_latest_sale",
+    "previous_sale_price",
+    "previous_sale_date",
+    "price_change_pct",
+    "days_since_last_sale",
+)
 
 
 def add_property_id(df: DataFrame) -> DataFrame:
@@ -71,39 +80,30 @@ def _time_slot() -> Column:
 def add_sales_history(
     df: DataFrame,
     order: str | None = None,
+    hot: DataFrame | None = None,
     hot_share: float = HOT_SHARE,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Sale sequence, latest flag, previous price and date, price change and holding time per property.
 
-    Rows of a property with an outsized share of all rows are windowed per (date, price step) instead
-    of all in one task; the counts and last rows of the earlier steps are carried over. All other
-    properties have the single step 0, so one window and one shuffle serve both.
+    Properties with an outsized share of all rows (`hot`, found here unless given) are windowed per
+    (date, price step) instead of all in one task; the counts and last rows of the earlier steps are
+    carried over. All other properties are one step each, so one window and one shuffle serve both.
     """
-    hot = F.broadcast(hot_keys(df, ["property_id"], hot_share, hot_min_rows).withColumn("_hot", F.lit(True)))
-    marked = df.join(hot, "property_id", "left")
-    marked = marked.withColumn("_slot", F.when(F.col("_hot"), _time_slot()).otherwise(F.lit(-1).cast("long"))).drop("_hot")
-
-    steps = df.select("property_id", "sale_date", "sale_price").join(hot, "property_id", "left_semi")
-    steps = steps.groupBy("property_id", _time_slot().alias("_slot")).agg(
-        F.count("*").alias("_n"), F.max("sale_date").alias("_date"), F.max("sale_price").alias("_price")
-    )
-    along = Window.partitionBy("property_id").orderBy("_slot")
-    steps = steps.select(
-        "property_id",
-        "_slot",
-        F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_seq_before"),
-        F.lag("_price").over(along).alias("_price_before"),
-        F.lag("_date").over(along).alias("_date_before"),
-        F.max("_date").over(Window.partitionBy("property_id")).alias("_latest"),
-    )
-
-    group = Window.partitionBy("property_id", "_slot")
+    if hot is None:
+        hot = hot_keys(df, ["property_id"], hot_share, hot_min_rows)
+    hot = materialise(hot)
+    if hot.count() == 0:
+        none = {"_slot": "bigint", "_seq_before": "bigint", "_price_before": "double", "_date_before": "date", "_latest": "date"}
+        marked = df.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+        group = Window.partitionBy("property_id")
+    else:
+        marked = _with_carried_steps(df, hot)
+        group = Window.partitionBy("property_id", "_slot")
     ordered = group.orderBy("sale_date", "sale_price", *([order] if order else []))
-    rn = F.row_number().over(ordered)
-    out = marked.join(steps, ["property_id", "_slot"], "left").withColumns(
+    out = marked.withColumns(
         {
-            "_rn": rn,
+            "_rn": F.row_number().over(ordered),
             "_lag_price": F.lag("sale_price").over(ordered),
             "_lag_date": F.lag("sale_date").over(ordered),
             "_group_latest": F.max("sale_date").over(group),
@@ -125,4 +125,25 @@ def add_sales_history(
             "days_since_last_sale": F.datediff("sale_date", "previous_sale_date"),
         }
     )
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
+    return out.select(*df.columns, *HISTORY_COLUMNS)
+
+
+def _with_carried_steps(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds `_slot` (the step of a hot property, -1 elsewhere) and what its earlier steps carry into it."""
+    hot = F.broadcast(hot)
+    marked = df.join(hot.withColumn("_hot", F.lit(True)), "property_id", "left")
+    marked = marked.withColumn("_slot", F.when(F.col("_hot"), _time_slot()).otherwise(F.lit(-1).cast("long"))).drop("_hot")
+    steps = df.select("property_id", "sale_date", "sale_price").join(hot, "property_id", "left_semi")
+    steps = steps.groupBy("property_id", _time_slot().alias("_slot")).agg(
+        F.count("*").alias("_n"), F.max("sale_date").alias("_date"), F.max("sale_price").alias("_price")
+    )
+    along = Window.partitionBy("property_id").orderBy("_slot")
+    steps = steps.select(
+        "property_id",
+        "_slot",
+        F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_seq_before"),
+        F.lag("_price").over(along).alias("_price_before"),
+        F.lag("_date").over(along).alias("_date_before"),
+        F.max("_date").over(Window.partitionBy("property_id")).alias("_latest"),
+    )
+    return marked.join(steps, ["property_id", "_slot"], "left")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valuary.session import MAX_LOOKUP_ROWS, materialise
+from valuary.session import MAX_LOOKUP_ROWS, broadcast_if_small, materialise
 
 LOG_CELLS = 1024  # first cut: cells per e-fold of 1 + |value|
 SPLIT_CELLS = 4096  # later cuts: equal-width cells inside an opened cell
@@ -223,6 +223,26 @@ def at_or_before(first: Column, second: Column, border_first: Column, border_sec
     )
 
 
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
+    """Rows at or below each distinct value of a group: keys, value, n, through, total.
+
+    Running totals are taken inside a cell and start from the totals of the cells before it.
+    """
+    keys = list(keys)
+    v = F.col(value) if isinstance(value, str) else value
+    rows = _values(df, keys, v, {"n": 1})
+    counts = rows.groupBy(*keys, first_cell(F.col("v")).alias("cell"), "v").agg(F.sum("n").alias("n"))
+    counts = counts.where("v is not null")
+    cells = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    cells = _with_before(cells, keys, ["n"]).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    bases = materialise(cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("cell").alias("_cell"), "n_before", "total"))
+    same = [counts[k].eqNullSafe(bases[f"_{k}"]) for k in keys] + [counts["cell"] == bases["_cell"]]
+    joined = counts.join(broadcast_if_small(bases), reduce(lambda a, b: a & b, same))
+    running = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    through = F.col("n_before") + F.sum("n").over(running)
+    return joined.select(*keys, F.col("v").alias("value"), "n", through.alias("through"), "total")
+
+
 def ks_distance(
     reference: DataFrame,
     current: DataFrame,

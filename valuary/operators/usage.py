@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Turns kept per session and minutes of silence that end one.
 SESSION_TURNS = 8
-SESSION_GAP = "30 minutes"
+SESSION_GAP_MINUTES = 30
 
 
 def usage_stats(log: DataFrame, since: datetime | str | None = None, by: Sequence[str] = ()) -> DataFrame:

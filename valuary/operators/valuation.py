@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valuary.functions.errors import valuation_status
 from valuary.functions.parse import js_round, lookup, round2
 from valuary.functions.property import upper_key
+from valuary.session import lookup_join, materialise
 
 # Dollars per square foot by borough, and for any other place.
 BOROUGH_PPSF = {"MANHATTAN": 1200.0, "BROOKLYN": 780.0, "QUEENS": 610.0, "BRONX": 420.0, "STATEN_ISLAND": 500.0}
@@ -28,12 +29,13 @@ def add_valuation_status(df: DataFrame) -> DataFrame:
 
 def add_segment_metrics(df: DataFrame, metrics: DataFrame) -> DataFrame:
     """Adds the MdAPE of each row's own segment, the overall one (0.10 if there is none) as fallback."""
+    metrics = materialise(metrics)
     overall = metrics.where("group_type = 'overall'").select("mdape").first()
     fallback = overall["mdape"] if overall and overall["mdape"] is not None else 0.10
     own = metrics.where("group_type = 'segment'").select(
         F.col("group_name").alias("property_segment"), F.col("mdape").alias("_own")
     )
-    out = df.join(own, "property_segment", "left")
+    out = lookup_join(df, own, ["property_segment"])
     return out.withColumns(
         {
             "mdape_used": F.coalesce("_own", F.lit(fallback)),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from valuary.operators.usage import SESSION_GAP
+from valuary.operators.usage import SESSION_GAP_MINUTES
 
 
 def daily_usage(log: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -21,14 +21,29 @@ def daily_usage(log: DataFrame, lateness: str = "1 day") -> DataFrame:
     return counted.select(F.to_date("w.start").alias("day"), "model", "calls", "cost", "input_tokens", "output_tokens")
 
 
-def sessions(turns: DataFrame, user: str, time: str, gap: str = SESSION_GAP, lateness: str = "1 hour") -> DataFrame:
-    """Sessions of a user ended by a silent gap, with start, end and number of turns."""
+def sessions(
+    turns: DataFrame, user: str, time: str, gap_minutes: int = SESSION_GAP_MINUTES, lateness: str = "1 hour"
+) -> DataFrame:
+    """Sessions of a user ended by a silent gap, with start, end and number of turns.
+
+    A static table is first counted per user and slot of one gap length, inside which no session can
+    end. However many turns a user has, only its slots meet in one task.
+    """
+    gap = f"{gap_minutes} minutes"
     if turns.isStreaming:
-        turns = turns.withWatermark(time, lateness)
-    grouped = turns.groupBy(user, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("turns"))
-    return grouped.select(
-        user, F.col("s.start").alias("started_at"), F.col("s.end").alias("expires_at"), "turns"
+        grouped = turns.withWatermark(time, lateness).groupBy(user, F.session_window(time, gap).alias("s"))
+        counted = grouped.agg(F.count("*").alias("turns"))
+        return counted.select(user, F.col("s.start").alias("started_at"), F.col("s.end").alias("expires_at"), "turns")
+    slots = turns.where(F.col(time).isNotNull()).groupBy(user, F.window(time, gap).alias("slot"))
+    slots = slots.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("turns"))
+    along = Window.partitionBy(user).orderBy("first")
+    silent = F.expr(f"interval {gap_minutes} minutes")
+    begins = F.coalesce(F.col("first") > F.lag("last").over(along) + silent, F.lit(True))
+    numbered = slots.withColumn("_begins", begins.cast("int")).withColumn("_session", F.sum("_begins").over(along))
+    grouped = numbered.groupBy(user, "_session").agg(
+        F.min("first").alias("started_at"), (F.max("last") + silent).alias("expires_at"), F.sum("turns").alias("turns")
     )
+    return grouped.drop("_session")
 
 
 def write_daily_usage(log_stream: DataFrame, path: str, checkpoint: str, **trigger):
