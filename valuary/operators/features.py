@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuary.functions import calendar
 from valuary.functions.property import building_age, distance_to_center_km, grid_cell, price_per_sqft
 from valuary.operators.ordered import at_or_before, boundary_rows, group_quantiles
-from valuary.session import lookup_join
+from valuary.session import broadcast_if_small, materialise
 
 # Columns a model may not see, and those known at inference time.
 TARGET_DERIVED = (
@@ -80,14 +80,14 @@ def fit_cell_price_lag(train: DataFrame) -> DataFrame:
     scoped = train.select(
         F.explode(F.array_compact(F.array("h3_index", F.lit("__global__")))).alias("h3_index"), "sale_price"
     )
-    return group_quantiles(scoped, ["h3_index"], "sale_price", {"h3_price_lag": 0.5}).drop("n")
+    return materialise(group_quantiles(scoped, ["h3_index"], "sale_price", {"h3_price_lag": 0.5}).drop("n"))
 
 
 def apply_cell_price_lag(df: DataFrame, medians: DataFrame) -> DataFrame:
     """Cell median of the fitted rows, the overall median where the cell is unknown."""
     overall = medians.where("h3_index = '__global__'").select("h3_price_lag").first()
-    cells = medians.where("h3_index <> '__global__'")
-    out = lookup_join(df.drop("h3_price_lag"), cells, ["h3_index"])
+    cells = broadcast_if_small(medians.where("h3_index <> '__global__'"))
+    out = df.drop("h3_price_lag").join(cells, ["h3_index"], "left")
     return out.withColumn("h3_price_lag", F.coalesce("h3_price_lag", F.lit(overall["h3_price_lag"] if overall else None)))
 
 
@@ -114,9 +114,11 @@ def time_split(df: DataFrame, test_size: float = 0.2, order: str = "row_order")
     if not 0 < test_size < 0.5:
         raise ValueError("test_size must be between 0 and 0.5")
     keyed = df.select(F.lit("all").alias("scope"), F.unix_date("sale_date").alias("day"), F.col(order).alias("place"))
-    border = boundary_rows(
-        keyed, ["scope"], "day", "place", lambda n: [F.floor(n.cast("double") * F.lit(1 - test_size)) - 1]
-    ).first()
+
+    def last_train(n: Column) -> list[Column]:
+        return [F.floor(n.cast("double") * F.lit(1 - test_size)) - 1]
+
+    border = boundary_rows(keyed, ["scope"], "day", "place", last_train, few_first=True).first()
     if border is None:
         raise ValueError("time split left the train or the test part empty")
     day, place = F.unix_date("sale_date"), F.col(order)

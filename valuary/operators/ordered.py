@@ -80,12 +80,16 @@ def order_statistics(
     value: Column | str,
     ranks: Callable[[Column], Sequence[Column]],
     max_cell_rows: int = MAX_CELL_ROWS,
+    few_values: bool = False,
 ) -> DataFrame:
     """Values at given 0-based ranks of each group of `keys` (at least one key).
 
     `ranks(n)` returns the wanted ranks as expressions of the group size. The result has one row per
     group and rank: keys, `i` (position in the list), `rank`, `value`, `below` (rows with a smaller
     value), `ties` (rows with this value) and `n`. Null and NaN values are left out.
+
+    `few_values` promises that a group has a bounded number of distinct values (calendar days, or no
+    more rows than a cell may have): they are then listed in the first pass.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
@@ -112,11 +116,12 @@ def order_statistics(
             F.col("total").alias("n"),
         )
 
-    cells = _with_before(_cells(rows, keys, first_cell(F.col("v")), ["n"]), keys, ["n"])
+    cut = F.col("v") if few_values else first_cell(F.col("v"))
+    cells = _with_before(_cells(rows, keys, cut, ["n"]), keys, ["n"])
     cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
     cells = materialise(holding(cells.withColumn("wanted", wanted(F.col("total")))).drop("cell"))
     results = [found(cells)]
-    while True:
+    while not few_values:
         opened = cells.where("lo < hi")
         number, largest = _size_of(opened, "n")
         if number == 0:
@@ -187,29 +192,35 @@ def boundary_rows(
     second: Column | str,
     ranks: Callable[[Column], Sequence[Column]],
     max_cell_rows: int = MAX_CELL_ROWS,
+    few_first: bool = False,
 ) -> DataFrame:
     """Rows at given ranks when groups are ordered by (first, second): keys, i, `first`, `second`, `n`.
 
     `second` is null where no other row shares the first value, so no tie has to be broken.
+    `few_first` promises few distinct first values, see `order_statistics`.
     """
     keys = list(keys)
     a = F.col(first) if isinstance(first, str) else first
     b = F.col(second) if isinstance(second, str) else second
     rows = df.select(*keys, a.alias("a"), b.alias("b"))
-    heads = materialise(order_statistics(rows, keys, "a", ranks, max_cell_rows))
+    heads = materialise(order_statistics(rows, keys, "a", ranks, max_cell_rows, few_first))
     tied = heads.where("ties > 1").select(
         *[F.col(k).alias(f"_{k}") for k in keys],
         "i",
         F.col("value").alias("_value"),
         (F.col("rank") - F.col("below")).alias("place"),
+        "ties",
     )
-    number = tied.count()
+    number, largest = _size_of(tied, "ties")
+    tied = tied.drop("ties")
     if number == 0:
         return heads.select(*keys, "i", F.col("value").alias("first"), F.lit(None).cast("long").alias("second"), "n")
     same = [rows[k].eqNullSafe(tied[f"_{k}"]) for k in keys] + [rows["a"] == tied["_value"]]
     side = F.broadcast(tied) if number <= MAX_LOOKUP_ROWS else tied
     inside = rows.join(side, reduce(lambda x, y: x & y, same)).select(*keys, F.col("i").alias("_i"), "place", "b")
-    breaks = order_statistics(inside, [*keys, "_i", "place"], "b", lambda n: [F.col("place")], max_cell_rows)
+    breaks = order_statistics(
+        inside, [*keys, "_i", "place"], "b", lambda n: [F.col("place")], max_cell_rows, few_values=largest <= max_cell_rows
+    )
     breaks = breaks.select(*[F.col(k).alias(f"_{k}") for k in keys], "_i", F.col("value").alias("second"))
     on = [heads[k].eqNullSafe(breaks[f"_{k}"]) for k in keys] + [heads["i"] == breaks["_i"]]
     out = heads.join(breaks, reduce(lambda x, y: x & y, on), "left")

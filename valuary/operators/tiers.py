@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from valuary.functions.parse import lookup, number_of, token_or
 from valuary.functions.property import borough_digits, segment
 from valuary.operators.ordered import at_or_before, boundary_rows, group_quantiles
-from valuary.session import lookup_join
+from valuary.session import broadcast_if_small, lookup_join, materialise
 
 # Tier names from cheapest to dearest, and the borough part of the proxy score.
 TIERS = ("entry", "core", "premium", "luxury")
@@ -88,7 +88,7 @@ def fit_proxy_bins(
     bins = bins.where((F.col("scope") == GLOBAL_SCOPE) | (F.col("n") >= min_segment_rows))
     zero = df.sparkSession.createDataFrame([(GLOBAL_SCOPE, 0.0, 0.0, 0.0, 0)], "scope string, q25 double, q50 double, q75 double, n bigint")
     both = bins.unionByName(zero).groupBy("scope")
-    return both.agg(*[F.max_by(c, "n").alias(c) for c in THRESHOLDS], F.max("n").alias("n"))
+    return materialise(both.agg(*[F.max_by(c, "n").alias(c) for c in THRESHOLDS], F.max("n").alias("n")))
 
 
 def bucketize(score: Column, q25: Column, q50: Column, q75: Column) -> Column:
@@ -116,7 +116,7 @@ def assign_proxy_tiers(
         F.col("scope").alias("_scope"), *[F.col(c).alias(f"_{c}") for c in THRESHOLDS]
     )
     out = df.withColumns({"price_tier_proxy_score": proxy_score(df), "_scope": segment_token(df, segment_col)})
-    out = lookup_join(out, own, ["_scope"])
+    out = out.join(broadcast_if_small(own), ["_scope"], "left")
     score = F.col("price_tier_proxy_score")
     edges = [F.coalesce(F.col(f"_{c}"), F.lit(overall[c])) for c in THRESHOLDS]
     source = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from valuary.functions.errors import valuation_status
 from valuary.functions.parse import js_round, lookup, round2
 from valuary.functions.property import upper_key
-from valuary.session import lookup_join, materialise
+from valuary.session import broadcast_if_small, materialise
 
 # Dollars per square foot by borough, and for any other place.
 BOROUGH_PPSF = {"MANHATTAN": 1200.0, "BROOKLYN": 780.0, "QUEENS": 610.0, "BRONX": 420.0, "STATEN_ISLAND": 500.0}
@@ -35,7 +35,7 @@ def add_segment_metrics(df: DataFrame, metrics: DataFrame) -> DataFrame:
     own = metrics.where("group_type = 'segment'").select(
         F.col("group_name").alias("property_segment"), F.col("mdape").alias("_own")
     )
-    out = lookup_join(df, own, ["property_segment"])
+    out = df.join(broadcast_if_small(own), ["property_segment"], "left")
     return out.withColumns(
         {
             "mdape_used": F.coalesce("_own", F.lit(fallback)),
