@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from oracle import views as V
 from oracle.registry import check
 from valuary.operators import clean, features, identity, impute, tiers
 from valuary.operators.profile import head_rows, sample_rows
+from valuary.plans.etl import run_etl
 from valuary.schemas import SALES_SCHEMA
 from valuary.session import scratch_path
 from valuary.sources import readers, sinks
@@ -531,3 +534,43 @@ def l2(spark, d):
 )
 def l5(spark, d):
     return sample_rows(V.cleaned(spark, d).select("row_order", "sale_price"), "row_order", 500, 7)
+
+
+# ---------------------------------------------------------------- the whole pass
+
+_TIERED = """(select *, case when 4 * (rn - 1) <= n - 1 then 'entry' when 4 * (rn - 1) <= 2 * (n - 1) then 'core'
+    when 4 * (rn - 1) <= 3 * (n - 1) then 'premium' else 'luxury' end as price_tier from
+    (select *, row_number() over (partition by seg order by sale_price, row_order) as rn, count(*) over (partition by seg) as n
+     from (select *, {seg} as seg from history)))"""
+
+
+def _etl(spark, d):
+    return run_etl(V.raw_sales(spark, d), date(2025, 12, 1))
+
+
+@check(
+    "e1_etl_stages",
+    """select 0 as position, 'extract_raw' as stage, count(*) as rows, cast(null as bigint) as unique_properties, max(sale_date) as latest_sale_date from raw_sales
+       union all select 1, 'cleaned', count(*), null, max(sale_date) from cleaned
+       union all select 2, 'feature_engineered', count(*), count(distinct property_id), max(sale_date) from deduped
+       union all select 3, 'load_skipped', count(*), count(distinct property_id), max(sale_date) from deduped""",
+)
+def e1_stages(spark, d):
+    return _etl(spark, d).stages
+
+
+@check(
+    "e1_enriched_sales",
+    f"""select seg as property_segment, price_tier, count(*) as n, cast(sum(sale_sequence) as bigint) as sequences,
+        count(*) filter (where is_latest_sale) as latest, count(*) filter (where coalesce(gross_square_feet, 0) = 0) as imputed_sqft,
+        count(*) filter (where year_built = 0) as imputed_years, count(distinct {V.CELL_SQL}) as cells from {_TIERED.format(seg=V.SEGMENT_SQL)} group by all""",
+)
+def e1_enriched(spark, d):
+    return _etl(spark, d).sales.groupBy("property_segment", "price_tier").agg(
+        F.count("*").alias("n"),
+        F.sum("sale_sequence").alias("sequences"),
+        F.count_if("is_latest_sale").alias("latest"),
+        F.count_if("sqft_imputed").alias("imputed_sqft"),
+        F.count_if("year_built_imputed").alias("imputed_years"),
+        F.count_distinct("h3_index").alias("cells"),
+    )
