@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Spellings that mean "no number".
-NULL_TOKENS = ("", "nan", "none", "null", "n/a", "na")
-
+# Only digits, sign, point and exponent make a number, so nan, none, null, n/a, na and blanks become null.
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,11 +124,6 @@ def time_split(df: DataFrame, test_size: float = 0.2, order: str = "row_order")
     return df.where(early), df.where(~early)
 
 
-def split_sizes(n: int, test_size: float) -> tuple[int, int]:
-    head = math.floor(n * (1 - test_size))
-    return head, n - head
-
-
 def check_feature_columns(columns: list[str], context: str = "feature columns") -> list[str]:
     """Names usable as features or routing keys; target-derived or unknown ones are an error."""
     names = [str(c).strip() for c in columns]
