@@ -4,7 +4,7 @@ from importlib import import_module
 
 from valuary.llm.registry import QUERIES, SQL  # noqa: F401
 
-MODULES = ("op10_quality_rules",)
+MODULES = ("op1_token_output", "op5_secret_scans", "op10_quality_rules")
 
 for _module in MODULES:
     import_module(f"valuary.llm.{_module}")

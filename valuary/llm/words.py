@@ -50,14 +50,13 @@ class Codes(dict):
         return code
 
 
-def pieces(text: str) -> list[str]:
-    """Cut in front of every single blank between two other characters; no pre-token of a byte-level or word
-    tokenizer crosses such a place, so the pieces can be encoded one by one. The pieces join to the text."""
-    if _LOOSE_SPACE.search(text):
-        parts = _TIGHT_SPACE.split(text)
-    else:
-        parts = text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]]
+def parts_of(text: str) -> list[str | tuple[str]]:
+    """The text cut at every single blank between two other characters; the first part as a tuple, for it alone
+    has no blank in front. No pre-token of a byte-level or word tokenizer crosses such a place, so the first part
+    and (blank + each other part) can be encoded one by one."""
+    parts: list = _TIGHT_SPACE.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
+    parts[0] = (parts[0],)
+    return parts
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
