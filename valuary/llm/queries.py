@@ -4,7 +4,14 @@ from importlib import import_module
 
 from valuary.llm.registry import QUERIES, SQL  # noqa: F401
 
-MODULES = ("op1_token_output", "op5_secret_scans", "op10_quality_rules")
+MODULES = (
+    "op1_token_output",
+    "op3_byte_bpe",
+    "op5_secret_scans",
+    "op6_token_counts",
+    "op7_packing",
+    "op10_quality_rules",
+)
 
 for _module in MODULES:
     import_module(f"valuary.llm.{_module}")
