@@ -7,9 +7,11 @@ from valuary.llm.registry import QUERIES, SQL  # noqa: F401
 MODULES = (
     "op1_token_output",
     "op3_byte_bpe",
+    "op4_minhash_dedup",
     "op5_secret_scans",
     "op6_token_counts",
     "op7_packing",
+    "op8_substring_dedup",
     "op10_quality_rules",
 )
 
