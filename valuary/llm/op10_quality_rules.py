@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuary.llm import sql
 from valuary.llm.registry import query, table
 from valuary.llm.words import BLANKS, NOT_BLANK
 from valuary.session import lookup_join, stage_table
@@ -204,7 +205,7 @@ def filter_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
     return judge(counts, rules).where("kept").select("_row.*")
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", sql.quality_rules(QualityRules(), COMMON_WORDS, SENTENCE_MARKS, SYMBOLS))
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

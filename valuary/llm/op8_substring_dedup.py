@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuary.llm import sql
 from valuary.llm.registry import query, table
 from valuary.llm.words import Codes, chunks, gather
 
@@ -301,6 +302,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return intact.unionByName(shorter.select(*columns))
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", sql.SUBSTRING_DEDUP)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"))
