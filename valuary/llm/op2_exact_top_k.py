@@ -149,8 +149,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, max_passes: int =
     # Score limits of a query block by its own and the candidates' largest components.
     largest = candidates.groupBy("dim").agg(F.max("largest").alias("c_most"), F.count("*").alias("n_blocks"))
     asked = asked.join(F.broadcast(materialise(largest)), "dim")
-    limit = F.least(F.ceil(F.col("dim") * F.col("largest") * F.col("c_most")) + 1, F.lit(2**62))
-    ranges = asked.select("dim", "block", F.explode(_unpack_ids(asked)).alias("query_id"), (-limit).alias("low"), limit.alias("high"), F.lit(False).alias("settled"))
+    limit = F.ceil(F.col("dim") * F.col("largest") * F.col("c_most")) + 1
+    bounded = F.col("dim") * F.col("largest") * F.col("c_most") < 2.0**61
+    ranges = asked.select(
+        "dim",
+        "block",
+        F.explode(_unpack_ids(asked)).alias("query_id"),
+        F.when(bounded, -limit).otherwise(F.lit(LOW)).alias("low"),
+        F.when(bounded, limit).otherwise(F.lit(HIGH)).alias("high"),
+        F.lit(False).alias("settled"),
+    )
     ranges = materialise(ranges)
     per_dim = asked.groupBy("dim").agg(F.count("*").alias("n_asked"))
     spread = candidates.join(F.broadcast(per_dim), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_asked").cast("int") - 1)))
@@ -176,14 +184,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, max_passes: int =
         hit = summed.groupBy("query_id").agg(
             F.max(F.when(F.col("upto") >= k, F.struct("bin", "upto"))).alias("kth"), F.min("bin").alias("lowest")
         )
-        width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.lit(BINS)).cast("long"))
+        # Ranges of 64-bit numbers are wider than 64 bits.
+        low, high = (F.col(c).cast("decimal(38,0)") for c in ("low", "high"))
+        width = F.greatest(F.lit(1), F.ceil((high - low + 1) / F.lit(BINS))).cast("decimal(38,0)")
         found = still.join(hit, "query_id", "left")
-        bin_ = F.col("kth.bin").cast("long")
-        start = F.col("low") + bin_ * F.col("_width")
+        bin_ = F.col("kth.bin").cast("decimal(38,0)")
+        start = low + bin_ * F.col("_width")
         found = found.withColumn("_width", width).select(
             "dim", "block", "query_id",
-            F.when(bin_.isNull(), F.col("low")).otherwise(start).alias("low"),
-            F.when(bin_.isNull(), F.col("high")).otherwise(F.least(start + F.col("_width") - 1, F.col("high"))).alias("high"),
+            F.when(bin_.isNull(), F.col("low")).otherwise(start.cast("long")).alias("low"),
+            F.when(bin_.isNull(), F.col("high")).otherwise(F.least(start + F.col("_width") - 1, high).cast("long")).alias("high"),
             (bin_.isNull() | (F.col("_width") == 1) | (F.col("kth.upto") <= enough * k)).alias("settled"),
         )
         ranges = materialise(ranges.where("settled").unionByName(found))
