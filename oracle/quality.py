@@ -28,20 +28,20 @@ def _broken(spark, d):
 
 def _null_rows(columns: list[str]) -> str:
     return " union all ".join(
-        f"""select 'null_threshold' as "check", printf('{c} null ratio %.4f exceeds threshold 0.0000', avg(case when {c} is null then 1e0 else 0e0 end)) as message,
+        f"""select 'null_threshold' as "check", printf('{c}: share of nulls %.4f is above 0.0000', avg(case when {c} is null then 1e0 else 0e0 end)) as message,
         count(*) filter (where {c} is null) as failed_rows from b having count(*) filter (where {c} is null) > 0"""
         for c in columns
     )
 
 
-_DOMAIN = """select 'domain_sale_price' as "check", 'sale_price below 10000' as message, count(*) as failed_rows from b where sale_price < 10000 having count(*) > 0
-    union all select 'domain_bbl', 'bbl must be numeric with 10 digits', count(*) from b where bbl is null or length(cast(bbl as varchar)) <> 10 having count(*) > 0
-    union all select 'domain_coordinates', 'coordinates outside expected NYC bounds', count(*) from b
+_DOMAIN = """select 'domain_sale_price' as "check", 'sale_price under 10000' as message, count(*) as failed_rows from b where sale_price < 10000 having count(*) > 0
+    union all select 'domain_bbl', 'bbl without exactly 10 digits', count(*) from b where bbl is null or length(cast(bbl as varchar)) <> 10 having count(*) > 0
+    union all select 'domain_coordinates', 'coordinates absent or off the city', count(*) from b
         where latitude is null or longitude is null or not (latitude between 40.40e0 and 41.10e0 and longitude between -74.35e0 and -73.45e0) having count(*) > 0
-    union all select 'domain_borough', 'borough must be one of 1..5', count(*) from b where borough is null or borough not in (1, 2, 3, 4, 5) having count(*) > 0"""
+    union all select 'domain_borough', 'borough is none of 1 to 5', count(*) from b where borough is null or borough not in (1, 2, 3, 4, 5) having count(*) > 0"""
 _NULLS = _null_rows(["sale_date", "sale_price", "bbl", "latitude", "longitude"])
-_FRESH = """select 'freshness' as "check", concat('Latest sale_date ', strftime(max(sale_date), '%Y-%m-%d'), ' is stale (',
-    cast(date '2028-01-01' - max(sale_date) as varchar), ' days old, max 730)') as message, count(*) as failed_rows from b
+_FRESH = """select 'freshness' as "check", concat('newest sale_date ', strftime(max(sale_date), '%Y-%m-%d'), ' lies ',
+    cast(date '2028-01-01' - max(sale_date) as varchar), ' days back, allowed are 730') as message, count(*) as failed_rows from b
     having date '2028-01-01' - max(sale_date) > 730"""
 
 
@@ -62,7 +62,7 @@ def a13(spark, d):
 
 @check(
     "a14_sales_contract",
-    f"""with b as {_BROKEN_SQL} select 'required_columns' as "check", 'Missing required columns: lot' as message, count(*) as failed_rows from b
+    f"""with b as {_BROKEN_SQL} select 'required_columns' as "check", 'columns absent (required): lot' as message, count(*) as failed_rows from b
         union all {_FRESH} union all {_NULLS} union all {_DOMAIN}""",
 )
 def a14(spark, d):
@@ -82,9 +82,9 @@ def a14_passed(spark, d):
 @check(
     "a14_canonical_contract",
     f"""with b as {_BROKEN_SQL}
-        select 'required_columns' as "check", 'Missing canonical columns: property_segment' as message, count(*) as failed_rows from b
-        union all select 'domain_sale_price', 'sale_price below 10000', count(*) from b where sale_price < 10000 having count(*) > 0
-        union all select 'sale_date', 'No parseable sale_date values', count(*) from b""",
+        select 'required_columns' as "check", 'columns absent (canonical): property_segment' as message, count(*) as failed_rows from b
+        union all select 'domain_sale_price', 'sale_price under 10000', count(*) from b where sale_price < 10000 having count(*) > 0
+        union all select 'sale_date', 'no sale_date could be parsed', count(*) from b""",
 )
 def a14_canonical(spark, d):
     return contracts.canonical_violations(_broken(spark, d).withColumn("sale_date", F.lit(None).cast("date")))

@@ -61,7 +61,7 @@ def t4(spark, d):
 
 
 _SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
-_CLEAN = f"left(trim(regexp_replace(text, '{_SPACE}', ' ', 'g')), 5500)"
+_CLEAN = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
 _BLOCK = " or ".join(f"regexp_matches(clean, '(?i){p}')" for p in text.BLOCKED_PATTERNS)
 
 
@@ -76,9 +76,24 @@ def t5(spark, d):
     return text.add_safety_label(V.documents(spark, d)).select("doc_id", *cols)
 
 
-@check("t6_chunks")
+def _chunks_sql() -> str:
+    """The chunk rule, one step of recursion a chunk."""
+    size, overlap = text.CHUNK_SIZE, text.CHUNK_OVERLAP
+    quoted = ["'" + sep.replace("\n", "' || chr(10) || '") + "'" for sep in text.SEPARATORS]
+    last = lambda q: f"length(w) - instr(reverse(w), reverse({q})) + 1 - length({q})"
+    borders = " ".join(f"when instr(w, {q}) > 0 and {last(q)} > 0 then {last(q)} + length({q})" for q in quoted)
+    step = f"""(select doc_id, text, no, b, s, case when s + {size} >= length(text) then length(text) else b + (case {borders} else length(w) end) end as e
+        from (select *, substr(text, b + 1, s + {size} - b) as w from (select *, greatest(0, b - {overlap}) as s from {{0}})))"""
+    first = step.format("(select doc_id, text, 0 as no, 0 as b from texts)")
+    following = step.format("(select doc_id, text, no + 1 as no, e as b from c where e < length(text))")
+    return f"""with recursive c as (select * from {first} union all select * from {following})
+        select doc_id, cast(no as int) as chunk_no, cast(s as int) as "start", cast(e as int) as "end", sha256(substr(text, s + 1, e - s)) as chunk_hash from c"""
+
+
+@check("t6_chunks", _chunks_sql())
 def t6(spark, d):
-    return text.chunk_documents(V.documents(spark, d).select("doc_id", "text"))
+    rows = text.chunk_documents(V.documents(spark, d).select("doc_id", "text"))
+    return rows.select("doc_id", "chunk_no", "start", "end", F.sha2("chunk", 256).alias("chunk_hash"))
 
 
 _MEMO = """case conv_id % 6 when 0 then to_json(named_struct('summary', text, 'investment_thesis', role, 'key_risks', array('a', text), 'confidence_level', 'High'))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from valuary.operators import features, ordered, tiers
 from valuary.operators.clean import load_mapping, mapping_report, to_canonical
 from valuary.schemas import AUDIT_LOG_SCHEMA, MODEL_PERFORMANCE_SCHEMA
-from valuary.session import broadcast_if_small, lookup_join, materialise, shared_dir, spread
+from valuary.session import broadcast_if_small, fallback_dir, lookup_join, materialise, shared_dir, spread
 from valuary.sources.sinks import write_table
 
 
@@ -100,3 +100,19 @@ def test_shared_folder_and_spread(spark):
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 10, 1, 9)
     assert spread(wide) is wide
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert fallback_dir("local[4]").startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            fallback_dir(master)
+
+
+def test_white_space_of_every_kind_is_stripped(rows):
+    from valuary.functions.parse import to_number
+    from valuary.functions.property import unit_token
+
+    df = rows([("\t12\n", "\tAPT 3B"), ("\u00a0 1,200 \u3000", "APT 3B\n"), ("\u20097\x0b", " apt\u00a03B ")], "n string, u string")
+    assert [r[0] for r in df.select(to_number(df.n)).collect()] == [12.0, 1200.0, 7.0]
+    assert [r[0] for r in df.select(unit_token(df.u, strict=False)).collect()] == ["3B"] * 3

@@ -44,7 +44,7 @@ def test_missing_column_and_empty_table(rows):
     df = rows([GOOD], SALE).drop("lot")
     assert {r["check"] for r in contracts.sales_violations(df, date(2025, 6, 1)).collect()} == {"required_columns"}
     empty = rows([], SALE)
-    assert {r["message"] for r in contracts.sales_violations(empty, date(2025, 6, 1)).collect()} == {"No valid sale_date values found"}
+    assert {r["message"] for r in contracts.sales_violations(empty, date(2025, 6, 1)).collect()} == {"no sale_date could be read"}
 
 
 PRED = "sale_price double, predicted_price double, property_segment string, price_tier string, sale_date date"

@@ -10,9 +10,18 @@ from pyspark.sql import types as T
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 
 
+# Every character that counts as white space at the ends of a field.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def to_number(c: Column) -> Column:
     """Text or numeric column as double: thousands commas dropped, unparseable text and NaN become null."""
-    text = F.replace(F.lower(F.trim(c.cast("string"))), F.lit(","), F.lit(""))
+    text = F.replace(F.lower(strip(c.cast("string"))), F.lit(","), F.lit(""))
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -54,14 +63,14 @@ def to_day(c: Column, strict: bool = False) -> Column:
     day = F.coalesce(c.try_cast("date"), F.try_to_timestamp(c.cast("string"), F.lit("M/d/yyyy")).cast("date"))
     if not strict:
         return day
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     bad = F.raise_error(F.concat(F.lit("unparseable date: "), text)).cast("date")
     return F.when(day.isNull() & c.isNotNull() & (text != ""), bad).otherwise(day)
 
 
 def token_or(c: Column, default: str) -> Column:
     """Trimmed text with blank or null replaced by `default`."""
-    return F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(strip(c.cast("string")), F.lit("")), F.lit(default))
 
 
 def js_round(c: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from valuary.functions.parse import lookup, token_or
+from valuary.functions.parse import lookup, strip, token_or
 
 # Residential category prefixes and the segment each belongs to.
 SEGMENT_BY_PREFIX = {
@@ -60,14 +60,14 @@ def unit_token(c: Column, strict: bool) -> Column:
 
     `strict` also demands a digit or a PH prefix, for units guessed from an address.
     """
-    bare = F.regexp_replace(F.upper(F.trim(c)), _MARKER, "")
+    bare = F.regexp_replace(F.upper(strip(c)), _MARKER, "")
     token = F.regexp_replace(bare, r"[^A-Z0-9\-]", "")
     return F.nullif(F.regexp_extract(token, _STRICT_UNIT if strict else _UNIT, 0), F.lit(""))
 
 
 def unit_from_address(address: Column) -> Column:
     """Unit written at the end of an address: text after the last comma, else an APT/UNIT/# suffix."""
-    text = F.trim(address)
+    text = strip(address)
     after_comma = F.regexp_extract(text, r",\s*([^,]+)\s*$", 1)
     marked = F.regexp_extract(text, r"(?i)(?:APT|APARTMENT|UNIT|#)\s*([A-Z0-9\-]+)\s*$", 1)
     return F.coalesce(unit_token(after_comma, strict=True), unit_token(marked, strict=True))
@@ -86,12 +86,12 @@ def borough_name(borough: Column) -> Column:
 
 def upper_key(c: Column, default: str | None = None) -> Column:
     """Upper-case identifier with inner whitespace as underscores."""
-    text = F.trim(c.cast("string")) if default is None else token_or(c, default)
+    text = strip(c.cast("string")) if default is None else token_or(c, default)
     return F.regexp_replace(F.upper(text), r"\s+", "_")
 
 
 def borough_key(borough: Column) -> Column:
-    text = F.trim(borough.cast("string"))
+    text = strip(borough.cast("string"))
     return F.when(text.isNull() | (borough.cast("string") == ""), F.lit("UNKNOWN")).otherwise(
         F.coalesce(lookup(BOROUGH_KEYS, text), upper_key(text))
     )

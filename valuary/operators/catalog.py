@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuary.functions.parse import int_in_range, number_of
+from valuary.functions.parse import int_in_range, number_of, strip
 from valuary.functions.property import borough_key, upper_key, zip5
 from valuary.operators.identity import keep_first
 
@@ -26,7 +26,7 @@ REQUIRED_FEATURES = ("gross_square_feet", "year_built", "total_units", "building
 
 
 def _text(df: DataFrame, name: str) -> Column:
-    return F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+    return F.nullif(strip(F.col(name).cast("string")), F.lit("")) if name in df.columns else F.lit(None).cast("string")
 
 
 def _raw(df: DataFrame, name: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from valuary.functions.parse import strip
 from valuary.functions.property import unit_from_address, unit_token
 from valuary.operators.skew import HOT_MIN_ROWS, HOT_SHARE, hot_keys
 from valuary.session import materialise
@@ -57,7 +58,7 @@ def deduplicate_sales(df: DataFrame, order: str = "row_order") -> DataFrame:
 
 def duplicate_metrics(df: DataFrame) -> DataFrame:
     """One row: key groups that repeat, and those among them with more than one address."""
-    address = F.upper(F.trim(F.coalesce(F.col("address"), F.lit(""))))
+    address = F.upper(strip(F.coalesce(F.col("address"), F.lit(""))))
     per_address = df.groupBy(*SALE_KEY, address.alias("address_norm")).agg(F.count("*").alias("n"))
     per_key = per_address.groupBy(*SALE_KEY).agg(F.sum("n").alias("n"), F.count("*").alias("addresses"))
     return per_key.agg(

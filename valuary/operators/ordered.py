@@ -61,12 +61,13 @@ def _with_before(cells: DataFrame, by: Sequence[str], counts: Sequence[str]) ->
 
 def _join_open(rows: DataFrame, opened: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Rows whose value lies in an opened cell of their group (null keys match null keys)."""
-    side = opened.withColumnsRenamed({k: f"_{k}" for k in keys})
+    side = opened.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn("open_first", first_cell(F.col("open_lo")))
     match = [rows[k].eqNullSafe(side[f"_{k}"]) for k in keys]
     within = (rows["v"] >= side["open_lo"]) & (rows["v"] <= side["open_hi"])
-    match.append(F.coalesce(within, F.lit(False)))
+    # All values of an opened cell lie in one first cell, so each row meets only the opened cells around its value.
+    match += [first_cell(rows["v"]) == side["open_first"], F.coalesce(within, F.lit(False))]
     joined = rows.join(F.broadcast(side) if small else side, reduce(lambda a, b: a & b, match))
-    return joined.drop(*[f"_{k}" for k in keys])
+    return joined.drop("open_first", *[f"_{k}" for k in keys])
 
 
 def _size_of(opened: DataFrame, count: str | Column) -> tuple[int, int]:

@@ -31,19 +31,22 @@ def spark_session(app_name: str = "valuary", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def fallback_dir(master: str) -> str:
+    """A temporary folder for a session in one process; on a cluster, where executors would not see it, an error."""
+    if master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="valuary-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a temporary one when it is unset."""
+    """The folder all executors see: `spark.checkpoint.dir`; where it is unset, only a local session gets one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
     current = sc.getCheckpointDir()
     if current is None:
-        current = "file://" + tempfile.mkdtemp(prefix="valuary-")
-        sc.setCheckpointDir(current)
-    return current
+        sc.setCheckpointDir(configured or fallback_dir(sc.master))
+        current = sc.getCheckpointDir()
+    return configured or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
