@@ -40,12 +40,15 @@ def read_csv(
 def read_yearly(
     spark: SparkSession, path_of_year: str, first_year: int, last_year: int, date_col: str = "sale_date"
 ) -> DataFrame:
-    """Union of yearly CSV pulls at `path_of_year` (with `{year}`), each kept to its own year."""
+    """Union of yearly CSV pulls at `path_of_year` (with `{year}`), each kept to its own year.
+
+    `row_order` numbers the rows of all years, earlier years first, so it is unique."""
     parts = []
     for year in range(first_year, last_year + 1):
         part = read_csv(spark, path_of_year.format(year=year))
         parts.append(part.where(F.year(day_of(part, date_col)) == year))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.withColumn("row_order", F.monotonically_increasing_id())
 
 
 def coordinate_coverage(df: DataFrame) -> DataFrame:
@@ -93,7 +96,9 @@ def jdbc_options(
     sql = query if limit is None else f"SELECT * FROM ({query}) q LIMIT {int(limit)}"
     options = {"url": url, "dbtable": f"({sql}) q", **extra}
     if partition_column and limit is None:
-        low, high = bounds or (0, 1)
+        if bounds is None:
+            raise ValueError("a partition column needs bounds, or all rows land in one partition")
+        low, high = bounds
         options |= {
             "partitionColumn": partition_column,
             "lowerBound": str(low),
@@ -145,7 +150,7 @@ def get_source(spark: SparkSession, name: str, limit: int | None = None, **confi
         df = df if limit is None else df.orderBy(*df.columns).limit(limit)
     else:
         df = read_yearly(spark, path, config.get("first_year", 2019), config.get("last_year", 2024))
-        df = df if limit is None else df.orderBy("sale_date", "row_order").limit(limit)
+        df = df if limit is None else df.orderBy(day_of(df, "sale_date"), "row_order").limit(limit)
     return Extract(df, lineage(df, kind, str(path)))
 
 
@@ -155,7 +160,8 @@ def training_scan(sales: DataFrame, limit: int | None = None, order: Sequence[st
         sales = sales.withColumn("price_tier_proxy", F.lit(None).cast("string"))
     kept = sales.where(F.col("sale_price").isNotNull() & F.col("sale_date").isNotNull())
     if limit is not None:
-        kept = kept.orderBy(*order).limit(limit)
+        # All columns break ties, so the rows are the same on any partitioning.
+        kept = kept.orderBy(*order, *kept.columns).limit(limit)
     return kept.select(*TRAINING_COLUMNS)
 
 
