@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from valuary.llm import sql
 from valuary.llm.registry import query, table
 from valuary.session import stage_table
 
@@ -191,7 +192,10 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataF
     return clean.unionByName(masked)
 
 
-@query("op5_secret_scans")
+PATTERNS = list(zip(KINDS, (ASSIGN, ACCESS, HEX, RANDOM, IDENTIFIER, ENDPOINT)))
+
+
+@query("op5_secret_scans", sql.secret_scans(PATTERNS, "assign", MIN_VALUE, "part_secret", SCOPE))
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), "doc_id")
     return summarise(found, secret_spans(found))

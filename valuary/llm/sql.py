@@ -100,3 +100,54 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     {js.format(p="p", q="q")} > {rules.max_char_distance} or {js.format(p="wp", q="wq")} > {rules.max_word_distance})) as kept
 from j
 """
+
+
+def secret_scans(patterns: list[tuple[str, str]], value_group_of: str, least_value: int, mixed: str, scope: int) -> str:
+    """SQL of the secret scans: kinds with their patterns in listed order (three base kinds, string, identifier, endpoint)."""
+    names = [k for k, _ in patterns]
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " union all ".join(
+        f"""select doc_id, {i} as kind, regexp_extract_all(t, {q(p)}, 0) as m, regexp_split_to_array(t, {q(p)}) as g,
+            regexp_extract_all(t, {q(p)}, {2 if k == value_group_of else 0}) as v from d where regexp_matches(t, {q(p)})"""
+        for i, (k, p) in enumerate(patterns)
+    )
+    near = lambda other, reach=scope: (
+        f"exists (select 1 from s o where o.doc_id = x.doc_id and o.kind in ({other}) and o.a < x.e + {reach} and x.a < o.e + {reach})"
+    )
+    secret = near("0, 2")[:-1].replace("from s o", "from secret o") + ")"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({found}),
+p as (
+  select doc_id, kind, m[i] as m, v[i] as v,
+    cast(list_sum(list_transform(g[1:i], lambda y: length(y))) + list_sum(list_transform(m[1:i], lambda y: length(y))) as bigint) as e
+  from (select *, unnest(range(1, len(m) + 1)) as i from f)
+),
+s as (
+  select doc_id, kind, e - length(m) as a, e from p
+  where (kind <> {names.index(value_group_of)} or length(v) >= {least_value})
+    and (kind <> {names.index(mixed)} or (regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')))
+),
+part as (
+  select x.* from s x where kind = 3 and not {near("0, 1, 2", 0)}
+    and (({near("4")} and {near("5")}) or {near("1")})
+),
+secret as (select * from s where kind in (0, 2) union all select * from part),
+shown as (
+  select * from s where kind < 3 union all select * from part
+  union all select x.* from s x where kind = 4 and {secret.replace("o.kind in (0, 2) and ", "")}
+  union all select x.* from s x where kind = 5 and {secret.replace("o.kind in (0, 2) and ", "")} and {near("1, 4")}
+),
+said as (
+  select *, [{", ".join(q(n) for n in names)}][kind + 1] || ':' || cast(a as varchar) || ':' || cast(e as varchar) as w from shown
+),
+g as (
+  select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,
+    count(*) filter (where kind = 2) as n_hex, string_agg(w, ',' order by a, kind) filter (where kind < 3) as base,
+    string_agg(w, ',' order by a, kind) as spans
+  from said group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g on d.doc_id = g.doc_id
+"""
