@@ -179,11 +179,13 @@ def near_by_hand(rows, size, percent):
         k = min(size, len(w))
         sets[doc_id].append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
     label = {d: d for d in sets if d is not None}
+    linked = [
+        (a, b) for a in label for b in label
+        if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])
+    ]
     for _ in label:
-        for a in label:
-            for b in label:
-                if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
     return label, sets
 
 
@@ -372,7 +374,7 @@ def test_substring_removal_in_small_chunks_and_slices():
 
     rng = np.random.default_rng(1)
     words = [f"w{i}".encode() for i in range(30)]
-    doc, key, start = np.array([4, 9, 9]), np.array([1, -2, 3]), np.array([0, 5, 70])
+    doc, key, start = np.array([4, 9, 9]), np.array([1, 65_535, 3]), np.array([0, 5, 70])
     n, codes = np.array([3, 1, 20]), rng.integers(0, 30, 15 + 13 + 32)
     blob = op8_substring_dedup.pack(doc, key, start, n, codes, words, zstandard.ZstdCompressor())
     d, k, s, m, c, w = op8_substring_dedup.unpack(blob, zstandard.ZstdDecompressor())

@@ -34,8 +34,8 @@ from valuary.llm.registry import query, table
 from valuary.llm.words import Codes, chunks, gather
 
 WINDOW = 13
-SEED_WORDS = 3
-CHUNK_TEXT = 3_000_000
+SEED_WORDS = 2
+CHUNK_TEXT = 5_000_000
 WINDOWS_PER_BUCKET = 1_500_000
 SLICE = 3_000_000
 LAST = np.iinfo(np.int64).max
@@ -97,23 +97,23 @@ def _removal_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> Iterat
 
 
 def pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, windows: np.ndarray, codes: np.ndarray, words: list[bytes], press) -> bytes:
-    """Super-k-mers as one compressed string: their documents, places and words (each word once)."""
-    used, local = np.unique(codes, return_inverse=True)
-    text = b" ".join([words[c] for c in used.tolist()])
-    kind = "<u2" if len(used) < 65_536 else "<u4"
-    head = struct.pack("<4q", len(doc), len(codes), len(used), len(text))
-    parts = [head, doc.astype("<i8"), key.astype("<i8"), start.astype("<i4"), windows.astype("<i4"), local.astype(kind), text]
-    return press.compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
+    """Super-k-mers as one compressed string: their documents (in ascending order), places and words."""
+    text = b" ".join([words[c] for c in codes.tolist()])
+    head = struct.pack("<q", len(doc))
+    parts = [np.diff(doc, prepend=0).astype("<i8"), key.astype("<u2"), start.astype("<u4"), windows.astype("<u4")]
+    return press.compress(head + b"".join(p.tobytes() for p in parts) + text)
 
 
 def unpack(blob: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = press.decompress(blob)
-    n, n_codes, n_used, n_text = struct.unpack_from("<4q", raw)
-    at, out = 32, []
-    for kind, count in (("<i8", n), ("<i8", n), ("<i4", n), ("<i4", n), ("<u2" if n_used < 65_536 else "<u4", n_codes)):
-        out.append(np.frombuffer(raw, kind, count, at).astype(np.int64))
-        at += out[-1].size * np.dtype(kind).itemsize
-    return *out, raw[at : at + n_text].split(b" ")
+    (n,) = struct.unpack_from("<q", raw)
+    at, out = 8, []
+    for kind in ("<i8", "<u2", "<u4", "<u4"):
+        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        at += n * np.dtype(kind).itemsize
+    vocabulary = Codes()
+    codes = np.fromiter(map(vocabulary.__getitem__, raw[at:].split(b" ")), np.int64)
+    return np.cumsum(out[0]), *out[1:], codes, list(vocabulary)
 
 
 def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
@@ -123,7 +123,7 @@ def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for rows, texts in chunks(batches, CHUNK_TEXT):
             ids = [LAST if i is None else i for i in rows.column("doc_id").to_pylist()]
             keys = rows.column("key").to_pylist()
@@ -247,8 +247,10 @@ def covered(n_words: int, spans: Iterable[bytes], window: int) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, window: int, *extra: str) -> DataFrame:
-    """doc_id, text, the extra columns, and the repeated windows of every row of `docs`."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).withColumn("key", F.xxhash64("text"))
+    """doc_id, text, the extra columns, and the repeated windows of every row of `docs`.
+
+    `key`, 16 bits of the text's hash, tells rows of one doc_id with different texts apart."""
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).withColumn("key", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
     found = repeated_windows(super_kmers(keyed.select("doc_id", "text", "key"), bucket_count(keyed), window), window)
     per_doc = found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
     keyed = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(int(LAST))))
