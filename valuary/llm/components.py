@@ -15,9 +15,8 @@ def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     with very many links is no hot group), then jumps to that label's own label. Labels are checkpointed each
     round; it ends when none changes. Links of a node to itself only name the node.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both)
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(max_rounds):
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen.withColumnRenamed("a", "node"), "node").select(
@@ -27,7 +26,7 @@ def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
         moved = materialise(
             step.join(of_label, "next", "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next"))
         )
-        changed = moved.where(F.col("next") != F.col("label")).limit(1).count()
+        changed = not moved.where(F.col("next") != F.col("label")).isEmpty()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
             return labels.withColumnRenamed("label", "component")

@@ -7,10 +7,11 @@
 2. Documents with equal sets become one class at once, however many they are; only its smallest doc_id goes on.
 3. In each bucket of a band, the smallest member (the hub) is compared with the others: one pair a member, not
    all pairs. Pairs are confirmed on the full sets of the texts; links give components.
-4. Buckets that still hold several components are settled exactly. A shingle that stands in only one of the
-   documents left cannot be shared, which bounds every similarity from above. The members outside a bucket's
-   largest component are compared with all members in other components that the bound allows, up to `PIVOTS`
-   of them a bucket at a time; components are merged after each round, until no pair is left.
+4. Buckets that still hold several components are settled exactly. Among the documents left, a pair either has a
+   shingle in common that at most `RARE` of them hold (such pairs are few and are all compared), or has no more in
+   common than its shingles that more of them hold, which bounds its similarity from above. The members outside a
+   bucket's largest component are compared with all members in other components that the bound allows, up to
+   `PIVOTS` of them a bucket at a time; components are merged after each round, until no pair is left.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links; rows of one doc_id
 are one document, linked if any of their texts are; a null doc_id has no component, is kept and links nothing;
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from valuary.llm import sql
 from valuary.llm.components import connected_components
 from valuary.llm.registry import query, table
 from valuary.llm.words import chunks
@@ -37,6 +39,7 @@ BANDS, ROWS = 32, 4
 CIRCLE = 1 << 20
 SEED = 20240607
 PIVOTS = 64
+RARE = 16
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -140,8 +143,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def unshared(texts: DataFrame, size: int) -> DataFrame:
-    """(node, alone): how many of a document's shingles stand in no other of these documents."""
+def shared_shingles(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """How documents overlap with all others of `texts`: (node, shared, common) counts of their shingles that stand in
+    another one at all and in more than `RARE` of them; and the pairs (a, b) that have a rarer one in common."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +154,13 @@ def unshared(texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], ["node", "shingle"])
 
     each = texts.mapInArrow(run, "node long, shingle long")
-    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").alias("alone"))
+    few = each.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = materialise(each.join(few, "shingle").select("node", "shingle", "df"))
+    counts = rare.groupBy("node").agg(F.count_if(F.col("df") == 1).alias("alone"), F.count("*").alias("uncommon"))
+    partly = rare.where("df > 1")
+    other = partly.select("shingle", F.col("node").alias("b"))
+    pairs = partly.select("shingle", F.col("node").alias("a")).join(other, "shingle").where("a < b").select("a", "b").distinct()
+    return counts, pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -170,20 +179,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     hubs = members.where("node = hub").select("band", "hash", F.col("n").alias("hub_n"))
     star = members.where("node != hub").join(hubs, ["band", "hash"]).where(fits(F.col("n"), F.col("hub_n")))
-    star = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = materialise(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     # Texts of the classes that are in any bucket with others; the smallest text of a doc_id with several.
     active = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_if_small(materialise(active), 1_000_000), "node", "left_semi")
     texts = stage_table(texts.where(F.col("text").isNotNull()), "bucket-texts")
 
-    links = materialise(verify(star, texts, size, percent))
-    tried = star
-    # A doc_id with several sets links them.
-    same = usable.groupBy("print").agg(F.min("doc_id").alias("node"))
-    own = usable.select("doc_id", "print").distinct().join(same, "print").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a != b")
-    links = _settle(members.where("size > 2"), links, tried, texts, size, percent)
-    components = connected_components(links.union(own))
+    # Copies of a set belong to its class; so do all sets of one doc_id.
+    same = classes.select("print", "node")
+    own = usable.join(same, "print").where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = materialise(verify(star, texts, size, percent).union(own.distinct()))
+    components = _settle(members.where("size > 2"), links, star, texts, size, percent)
     found = rows.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
     return found.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
@@ -191,11 +198,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links, and those that hubs could not show: members of one bucket in different components."""
-    done = None  # (band, hash, node) that were compared with all of their bucket
-    bound = None
+    """Components of the links and of those that hubs could not show: between members of one bucket."""
+    components = connected_components(links)
+    done = bound = None  # (band, hash, node) that were compared with all of their bucket; shared shingles
     while True:
-        components = connected_components(links)
         placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if done is not None:
             placed = placed.join(done, ["band", "hash", "node"], "left_anti")
@@ -203,32 +209,50 @@ def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataF
         mixed = groups.groupBy("band", "hash").agg(
             F.max_by("component", "n_group").alias("largest"), F.count("*").alias("n_components")
         ).where("n_components > 1")
-        open_ = placed.join(mixed, ["band", "hash"])
+        open_ = materialise(placed.join(mixed, ["band", "hash"]))
+        if open_.isEmpty():
+            return components
+        rare = None
         if bound is None:
-            # Only documents of unsettled buckets count, so the bound is as tight as it can be.
-            open_ = materialise(open_)
-            left = open_.select("node").distinct()
-            alone = unshared(texts.join(left, "node", "left_semi"), size)
-            bound = materialise(left.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone")))
-        open_ = open_.join(bound, "node").withColumn("shared", F.col("n") - F.col("alone"))
-        # A document that shares too little with all the others together links with none of them.
-        open_ = materialise(open_.where(100 * F.col("shared") >= percent * F.col("n")))
-        minor = open_.where("component != largest")
+            # Only documents of unsettled buckets count, so the bounds are as tight as they can be.
+            left = materialise(open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")))
+            counts, together = shared_shingles(texts.join(left, "node", "left_semi"), size)
+            bound = left.join(counts, "node", "left").select(
+                "node", "n", "component",
+                (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
+                (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("common"),
+            )
+            bound = materialise(bound)
+            side = lambda c: bound.select(*[F.col(x).alias(f"{c}_{x}") for x in bound.columns])
+            most = F.least("a_shared", "b_shared")
+            may = (F.col("a_component") != F.col("b_component")) & (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
+            rare = together.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), (F.col("b") == F.col("b_node")) & may).select("a", "b")
+        # Pairs with a rare shingle in common come from `rare`; all others have no more in common than common ones.
+        open_ = open_.join(bound.select("node", "common"), "node")
+        open_ = materialise(open_.where(100 * F.col("common") >= percent * F.col("n")))
         first = Window.partitionBy("band", "hash").orderBy("node")
-        pivots = materialise(minor.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PIVOTS))
-        if pivots.isEmpty():
-            return links
-        p = pivots.select("band", "hash", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("shared").alias("p_shared"), F.col("component").alias("p_component"))
-        most = F.least("shared", "p_shared")
+        minor = open_.where("component != largest").withColumn("_r", F.row_number().over(first))
+        pivots = materialise(minor.where(F.col("_r") <= PIVOTS + 1))
+        p = pivots.where(F.col("_r") <= PIVOTS).select(
+            "band", "hash", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("common").alias("p_common"), F.col("component").alias("p_component")
+        )
+        most = F.least("common", "p_common")
         can = (F.col("component") != F.col("p_component")) & (100 * most >= percent * (F.col("n") + F.col("p_n") - most))
         pairs = open_.join(p, (open_.band == p.band) & (open_.hash == p.hash) & can).select(
             F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")
         )
+        pairs = pairs if rare is None else pairs.union(rare)
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        links = materialise(links.union(verify(pairs, texts, size, percent)))
-        tried = materialise(tried.union(pairs))
-        compared = pivots.select("band", "hash", "node")
-        done = materialise(compared if done is None else done.union(compared))
+        found = materialise(verify(pairs, texts, size, percent))
+        if not found.isEmpty():
+            links = links.union(found)
+            components = connected_components(links)
+        # Where every member outside the largest component was a pivot, no pair of the bucket is left.
+        if pivots.where(F.col("_r") > PIVOTS).isEmpty():
+            return components
+        tried = tried.union(pairs)
+        compared = p.select("band", "hash", F.col("p").alias("node"))
+        done = compared if done is None else done.union(compared)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,6 +264,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return unique.union(docs.where(F.col("doc_id").isNull()))
 
 
-@query("op4_minhash_dedup")
+@query("op4_minhash_dedup", sql.NEAR_DUPLICATES)
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
