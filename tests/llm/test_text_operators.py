@@ -220,6 +220,19 @@ def test_near_duplicates_in_one_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_near_duplicates_compare_every_text_of_a_doc_id(spark):
+    """One doc_id with two unlike texts, the second one near another document, in any order of rows."""
+    first, second = ([f"{x}{i}" for i in range(80)] for x in "ab")
+    rows = [(5, " ".join(first)), (5, " ".join(second)), (9, " ".join([*second[:-1], "z"])), (12, " ".join(["y", *first[1:]]))]
+    label, _ = near_by_hand(rows, 4, 80)
+    assert set(label.values()) == {5}
+    for some in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]], rows * 3):
+        for n in (1, 3):
+            frame = spark.createDataFrame(some, "doc_id long, text string").repartition(n)
+            got = op4_minhash_dedup.near_duplicates(frame, 4, 80).collect()
+            assert len(got) == len(some) and {r.doc_id: r.component_id for r in got} == label
+
+
 def secrets_by_hand(text):
     kinds = (
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)),

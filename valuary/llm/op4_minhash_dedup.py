@@ -4,7 +4,8 @@
    signature. Two permutations make all its coordinates: the first one scatters shingles over a circle of D
    places, the second one ranks the places and is shifted by one place for each further coordinate. Coordinates are
    hashed in `BANDS` bands of `ROWS`; at a similarity of 0.8 a pair misses all of them with probability 5e-8.
-2. Documents with equal sets become one class at once, however many they are; only its smallest doc_id goes on.
+2. Documents with equal sets become one class at once, however many they are; only its smallest doc_id goes on, as
+   `node`. `part` is the hash of one of its texts, the smallest one: a doc_id with different sets has a class for each.
 3. In each bucket of a band, the smallest member (the hub) is compared with the others: one pair a member, not
    all pairs. Pairs are confirmed on the full sets of the texts; links give components.
 4. Buckets that still hold several components are settled exactly. Among the documents left, a pair either has a
@@ -40,6 +41,7 @@ CIRCLE = 1 << 20
 SEED = 20240607
 PIVOTS = 64
 RARE = 16
+PAIR = ("a", "a_part", "b", "b_part")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -98,9 +100,15 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Staged per row: doc_id, n_shingles, the set's fingerprint (null if empty) and its band hashes."""
+    """Staged per row: doc_id, part (hash of the text), n_shingles, the set's fingerprint (null if empty), its band hashes."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))]
+        [
+            ("doc_id", pa.int64()),
+            ("part", pa.int64()),
+            ("n_shingles", pa.int64()),
+            ("print", pa.binary()),
+            ("bands", pa.list_(pa.int64())),
+        ]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +119,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
+                    rows.column("part"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(hashed) if len(s) else None for s in sets], pa.list_(pa.int64())),
@@ -118,19 +127,20 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 schema=schema,
             )
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage_table(ids.mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>"), "signatures")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
+    return stage_table(ids.mapInArrow(run, "doc_id long, part long, n_shingles long, print binary, bands array<long>"), "signatures")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, by the texts of both."""
+    """The nodes (a, b) of the pairs (a, a_part, b, b_part) whose full sets reach the similarity, by the texts of both."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            sets = zip(a, batch.column("a_part").to_pylist())
             keep = []
-            for i, (x, left, right) in enumerate(zip(a, batch.column("text_a"), batch.column("text_b"))):
+            for i, (x, left, right) in enumerate(zip(sets, batch.column("text_a"), batch.column("text_b"))):
                 if x != last:
                     last, mine = x, shingles(left.as_py(), size)
                 other = shingles(right.as_py(), size)
@@ -139,27 +149,32 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                     keep.append(i)
             yield pa.RecordBatch.from_pydict({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("b"), ["b", "b_part"]).join(side("a"), ["a", "a_part"])
+    return both.select("a", "a_part", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def shared_shingles(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """How documents overlap with all others of `texts`: (node, shared, common) counts of their shingles that stand in
-    another one at all and in more than `RARE` of them; and the pairs (a, b) that have a rarer one in common."""
+    """How the sets of `texts` overlap with all others: (node, part, alone, uncommon) counts of their
+    shingles that stand in no other one and in at most `RARE` of them; and the pairs (a, a_part, b, b_part) of different
+    nodes that have one of the latter in common."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+            ids = zip(batch.column("node").to_pylist(), batch.column("part").to_pylist())
+            for (node, part), text in zip(ids, batch.column("text")):
                 s = shingles(text.as_py(), size).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], ["node", "shingle"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), node)), pa.array(np.full(len(s), part)), pa.array(s)], ["node", "part", "shingle"]
+                )
 
-    each = texts.mapInArrow(run, "node long, shingle long")
+    each = texts.select("node", "part", "text").mapInArrow(run, "node long, part long, shingle long")
     few = each.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = materialise(each.join(few, "shingle").select("node", "shingle", "df"))
-    counts = rare.groupBy("node").agg(F.count_if(F.col("df") == 1).alias("alone"), F.count("*").alias("uncommon"))
+    rare = materialise(each.join(few, "shingle").select("node", "part", "shingle", "df"))
+    counts = rare.groupBy("node", "part").agg(F.count_if(F.col("df") == 1).alias("alone"), F.count("*").alias("uncommon"))
     partly = rare.where("df > 1")
-    other = partly.select("shingle", F.col("node").alias("b"))
-    pairs = partly.select("shingle", F.col("node").alias("a")).join(other, "shingle").where("a < b").select("a", "b").distinct()
+    side = lambda c: partly.select("shingle", F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    pairs = side("a").join(side("b"), "shingle").where("a < b").select(*PAIR).distinct()
     return counts, pairs
 
 
@@ -169,22 +184,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     usable = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(
         usable.groupBy("print").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+            F.min(F.struct("doc_id", "part")).alias("least"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
         )
+        .select("print", F.col("least.doc_id").alias("node"), "least.part", "n", "bands")
     )
     # Members of buckets: one row per class and band, only where a bucket has two classes or more.
-    members = classes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
-    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = stage_table(members.join(buckets, ["band", "hash"]).select("band", "hash", "node", "n", "hub", "size"), "buckets")
+    members = classes.select("node", "part", "n", F.posexplode("bands").alias("band", "hash"))
+    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    members = stage_table(members.join(buckets, ["band", "hash"]).select("band", "hash", "node", "part", "n", "hub", "size"), "buckets")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    hubs = members.where("node = hub").select("band", "hash", F.col("n").alias("hub_n"))
+    # The hub is the smallest part of the smallest node; its other parts are linked to it anyway, as one doc_id.
+    hubs = members.where("node = hub").groupBy("band", "hash").agg(F.min(F.struct("part", "n")).alias("_hub"))
+    hubs = hubs.select("band", "hash", F.col("_hub.part").alias("a_part"), F.col("_hub.n").alias("hub_n"))
     star = members.where("node != hub").join(hubs, ["band", "hash"]).where(fits(F.col("n"), F.col("hub_n")))
-    star = materialise(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    star = materialise(star.select(F.col("hub").alias("a"), "a_part", F.col("node").alias("b"), F.col("part").alias("b_part")).distinct())
 
-    # Texts of the classes that are in any bucket with others; the smallest text of a doc_id with several.
-    active = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_if_small(materialise(active), 1_000_000), "node", "left_semi")
-    texts = stage_table(texts.where(F.col("text").isNotNull()), "bucket-texts")
+    # Texts of the classes that are in any bucket with others.
+    active = members.select("node", "part").distinct()
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("part"), "text")
+    texts = texts.join(broadcast_if_small(materialise(active), 1_000_000), ["node", "part"], "left_semi")
+    texts = stage_table(texts, "bucket-texts")
 
     # Copies of a set belong to its class; so do all sets of one doc_id.
     same = classes.select("print", "node")
@@ -200,11 +221,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Components of the links and of those that hubs could not show: between members of one bucket."""
     components = connected_components(links)
-    done = bound = None  # (band, hash, node) that were compared with all of their bucket; shared shingles
+    done = bound = None  # (band, hash, node, part) that were compared with all of their bucket; shared shingles
     while True:
         placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if done is not None:
-            placed = placed.join(done, ["band", "hash", "node"], "left_anti")
+            placed = placed.join(done, ["band", "hash", "node", "part"], "left_anti")
         groups = placed.groupBy("band", "hash", "component").agg(F.count("*").alias("n_group"))
         mixed = groups.groupBy("band", "hash").agg(
             F.max_by("component", "n_group").alias("largest"), F.count("*").alias("n_components")
@@ -215,10 +236,10 @@ def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataF
         rare = None
         if bound is None:
             # Only documents of unsettled buckets count, so the bounds are as tight as they can be.
-            left = materialise(open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")))
-            counts, together = shared_shingles(texts.join(left, "node", "left_semi"), size)
-            bound = left.join(counts, "node", "left").select(
-                "node", "n", "component",
+            left = materialise(open_.groupBy("node", "part").agg(F.first("n").alias("n"), F.first("component").alias("component")))
+            counts, together = shared_shingles(texts.join(left, ["node", "part"], "left_semi"), size)
+            bound = left.join(counts, ["node", "part"], "left").select(
+                "node", "part", "n", "component",
                 (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
                 (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("common"),
             )
@@ -226,23 +247,26 @@ def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataF
             side = lambda c: bound.select(*[F.col(x).alias(f"{c}_{x}") for x in bound.columns])
             most = F.least("a_shared", "b_shared")
             may = (F.col("a_component") != F.col("b_component")) & (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
-            rare = together.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), (F.col("b") == F.col("b_node")) & may).select("a", "b")
+            rare = together.join(side("a").withColumnRenamed("a_node", "a"), ["a", "a_part"])
+            rare = rare.join(side("b").withColumnRenamed("b_node", "b"), ["b", "b_part"]).where(may).select(*PAIR)
         # Pairs with a rare shingle in common come from `rare`; all others have no more in common than common ones.
-        open_ = open_.join(bound.select("node", "common"), "node")
+        open_ = open_.join(bound.select("node", "part", "common"), ["node", "part"])
         open_ = materialise(open_.where(100 * F.col("common") >= percent * F.col("n")))
-        first = Window.partitionBy("band", "hash").orderBy("node")
+        first = Window.partitionBy("band", "hash").orderBy("node", "part")
         minor = open_.where("component != largest").withColumn("_r", F.row_number().over(first))
         pivots = materialise(minor.where(F.col("_r") <= PIVOTS + 1))
         p = pivots.where(F.col("_r") <= PIVOTS).select(
-            "band", "hash", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("common").alias("p_common"), F.col("component").alias("p_component")
+            "band", "hash", *[F.col(x).alias(f"p_{x}") for x in ("node", "part", "n", "common", "component")]
         )
         most = F.least("common", "p_common")
         can = (F.col("component") != F.col("p_component")) & (100 * most >= percent * (F.col("n") + F.col("p_n") - most))
-        pairs = open_.join(p, (open_.band == p.band) & (open_.hash == p.hash) & can).select(
-            F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")
+        mine, its = F.struct("node", "part"), F.struct(F.col("p_node").alias("node"), F.col("p_part").alias("part"))
+        pairs = open_.join(p, (open_.band == p.band) & (open_.hash == p.hash) & can)
+        pairs = pairs.select(F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b")).select(
+            F.col("a.node").alias("a"), F.col("a.part").alias("a_part"), F.col("b.node").alias("b"), F.col("b.part").alias("b_part")
         )
         pairs = pairs if rare is None else pairs.union(rare)
-        pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = materialise(pairs.distinct().join(tried, list(PAIR), "left_anti").select(*PAIR))
         found = materialise(verify(pairs, texts, size, percent))
         if not found.isEmpty():
             links = links.union(found)
@@ -251,7 +275,7 @@ def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataF
         if pivots.where(F.col("_r") > PIVOTS).isEmpty():
             return components
         tried = tried.union(pairs)
-        compared = p.select("band", "hash", F.col("p").alias("node"))
+        compared = p.select("band", "hash", F.col("p_node").alias("node"), F.col("p_part").alias("part"))
         done = compared if done is None else done.union(compared)
 
 
