@@ -233,6 +233,21 @@ def test_near_duplicates_compare_every_text_of_a_doc_id(spark):
             assert len(got) == len(some) and {r.doc_id: r.component_id for r in got} == label
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """A large group whose smallest members link with few; each row stands there three times."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(9 if i < 80 else 2):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    label, _ = near_by_hand(rows, 4, 80)
+    got = op4_minhash_dedup.near_duplicates(spark.createDataFrame(rows * 3, "doc_id long, text string"), 4, 80).collect()
+    assert len(got) == 3 * len(rows) and {r.doc_id: r.component_id for r in got} == label
+
+
 def secrets_by_hand(text):
     kinds = (
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)),

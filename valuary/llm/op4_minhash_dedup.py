@@ -155,7 +155,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 def shared_shingles(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """How the sets of `texts` overlap with all others: (node, part, alone, uncommon) counts of their
+    """How the sets of `texts`, one row each, overlap with all others: (node, part, alone, uncommon) counts of their
     shingles that stand in no other one and in at most `RARE` of them; and the pairs (a, a_part, b, b_part) of different
     nodes that have one of the latter in common."""
 
@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             F.min(F.struct("doc_id", "part")).alias("least"),
             F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
+            F.count("*").alias("copies"),
         )
-        .select("print", F.col("least.doc_id").alias("node"), "least.part", "n", "bands")
+        .select("print", F.col("least.doc_id").alias("node"), "least.part", "n", "bands", "copies")
     )
     # Members of buckets: one row per class and band, only where a bucket has two classes or more.
     members = classes.select("node", "part", "n", F.posexplode("bands").alias("band", "hash"))
@@ -201,10 +202,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     star = members.where("node != hub").join(hubs, ["band", "hash"]).where(fits(F.col("n"), F.col("hub_n")))
     star = materialise(star.select(F.col("hub").alias("a"), "a_part", F.col("node").alias("b"), F.col("part").alias("b_part")).distinct())
 
-    # Texts of the classes that are in any bucket with others.
-    active = members.select("node", "part").distinct()
+    # One text for each class that is in any bucket with others; only classes of several rows can hold it repeatedly.
+    active = members.select("node", "part").distinct().join(classes.select("node", "part", "copies"), ["node", "part"])
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("part"), "text")
-    texts = texts.join(broadcast_if_small(materialise(active), 1_000_000), ["node", "part"], "left_semi")
+    texts = texts.join(broadcast_if_small(materialise(active), 1_000_000), ["node", "part"])
+    texts = texts.where("copies = 1").union(texts.where("copies > 1").dropDuplicates(["node", "part"])).drop("copies")
     texts = stage_table(texts, "bucket-texts")
 
     # Copies of a set belong to its class; so do all sets of one doc_id.
