@@ -209,3 +209,41 @@ def test_champion_proposal(rows):
     )
     got = propose_champion(metrics, runs, "champ", {"major_segment_min_n": 10}).collect()
     assert [(r["run_id"], r["is_winner"]) for r in got] == [("good", True)]
+
+
+def test_model_queries_run_with_the_operators_own_settings(monkeypatch):
+    """No query narrows trees, tuning space or features."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from oracle import models
+
+    calls = {}
+
+    def fake(name, result):
+        def run(*args, **kwargs):
+            calls.setdefault(name, []).append((args, kwargs))
+            return result
+
+        monkeypatch.setattr(models.model, name, run)
+
+    monkeypatch.setattr(models, "_parts", lambda spark, d: (MagicMock(), MagicMock()))
+    for name in ("fit_proxy_bins", "assign_proxy_tiers", "evaluate_predictions", "V", "F"):
+        monkeypatch.setattr(models, name, MagicMock())
+    monkeypatch.setattr(models, "train_model", lambda df, config: calls.setdefault("config", config) and MagicMock())
+    for name, result in (
+        ("fit_price_model", MagicMock()),
+        ("fit_routed_models", (MagicMock(), {})),
+        ("score", MagicMock()),
+        ("tune", {}),
+        ("feature_importance", None),
+        ("permutation_importance", None),
+    ):
+        fake(name, result)
+    for query in (models.m2, models.m4, models.m5, models.m6, models.m7, models.m7_permutation):
+        query(SimpleNamespace(createDataFrame=lambda *a: None), "")
+    assert len(calls["fit_price_model"]) == 3 and all(len(a) == 1 and not k for a, k in calls["fit_price_model"])
+    assert not calls["fit_routed_models"][0][1].get("params")
+    assert calls["config"].params is None
+    assert "space" not in calls["tune"][0][1]
+    assert calls["permutation_importance"][0][0][2] == model.FEATURES
