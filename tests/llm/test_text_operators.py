@@ -233,6 +233,14 @@ def test_near_duplicates_compare_every_text_of_a_doc_id(spark):
             assert len(got) == len(some) and {r.doc_id: r.component_id for r in got} == label
 
 
+def test_keep_one_chooses_the_smallest_row_of_a_doc_id(spark):
+    rows = [(1, "b " * 9, "x"), (1, None, "a"), (1, "a " * 9, "z"), (1, "a " * 9, "y"), (2, None, "k"), (2, None, "j")]
+    for some in (rows, rows[::-1]):
+        frame = spark.createDataFrame(some, "doc_id long, text string, lang string").coalesce(1)
+        kept = op4_minhash_dedup.keep_one(frame)
+        assert sorted(map(tuple, kept.collect())) == [(1, "a " * 9, "y"), (2, None, "j")]
+
+
 def test_near_duplicates_of_repeated_rows(spark):
     """A large group whose smallest members link with few; each row stands there three times."""
     rng = random.Random(4)

@@ -282,10 +282,16 @@ def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataF
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group: rows of doc_ids that another one stands for go."""
+    """`docs` with one document of each group: rows of doc_ids that another one stands for go.
+
+    Of the rows of a doc_id that stays, the smallest one stays: by text (null last), then by the other columns in
+    their order, which must be of types that have one (no maps).
+    """
     judged = near_duplicates(docs, size, percent)
     gone = materialise(judged.where(~F.col("kept")).select("doc_id").distinct())
-    unique = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("text").isNull().alias("_no_text"), "text", *rest)
+    unique = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.*")
     unique = unique.join(broadcast_if_small(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
     return unique.union(docs.where(F.col("doc_id").isNull()))
 
