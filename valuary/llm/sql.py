@@ -151,3 +151,130 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g on d.doc_id = g.doc_id
 """
+
+
+def crc32(ascii: str) -> str:
+    """SQL of the unsigned CRC-32 of a text of ASCII characters."""
+    step = "lambda x, i: xor(x >> 1, case when x % 2 = 1 then 3988292384 else 0 end)"
+    byte = f"lambda c, b: list_reduce(range(8), {step}, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({ascii}, ''), lambda y: cast(ord(y) as bigint)), {byte}, 4294967295), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"cast({c} as varchar)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"coalesce(cast(octet_length(encode({p})) as varchar) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+_CHANGED = f"case when {crc32('cast(doc_id as varchar)')} % 2 = 0 then replace(text, chr(10), '') else text end"
+_CLIMB = """{name} as (
+  select tree, 0 as lvl, pos, n, h from {start}
+  union all
+  select tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from {name} where n > 1 group by tree, lvl, pos // 3, n
+)"""
+_SIDES = """select {start}.id, {shift} + lvl as ord,
+    coalesce(string_agg({up}.h, '' order by {up}.pos) filter (where {up}.pos < {start}.pos // cast(pow(3, lvl) as bigint)), '') as l,
+    coalesce(string_agg({up}.h, '' order by {up}.pos) filter (where {up}.pos > {start}.pos // cast(pow(3, lvl) as bigint)), '') as r
+  from {start} join {up} on {up}.tree = {start}.tree and {up}.n > 1 and {up}.pos // 3 = {start}.pos // cast(pow(3, lvl + 1) as bigint)
+  group by {start}.id, lvl"""
+MERKLE_MANIFEST = f"""
+with recursive f as (
+  select doc_id, coalesce('s' || source, '') as tree, {_leaf("text")} as h, {_leaf(_CHANGED)} as changed from documents
+),
+d as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as pos,
+    count(*) over (partition by tree) as n, row_number() over (order by tree, doc_id nulls first, h) as id from f
+),
+{_CLIMB.format(name="up", start="d")},
+s as (
+  select *, row_number() over (order by member) - 1 as pos, count(*) over () as n, member as id
+  from (select tree as member, '' as tree, h from up where n = 1)
+),
+{_CLIMB.format(name="over_up", start="s")},
+low as ({_SIDES.format(start="d", up="up", shift=0)}),
+high as ({_SIDES.format(start="s", up="over_up", shift=1000)}),
+path as (select * from low union all select d.id, high.ord, high.l, high.r from high join d on d.tree = high.id),
+g as (
+  select id, string_agg(l || r, '' order by ord) as proof, list(['x' || l, 'x' || r] order by ord) as steps
+  from path group by id
+),
+e as (
+  select d.*, s.h as subroot, (select h from over_up where n = 1) as root, coalesce(proof, '') as proof,
+    list_reduce(coalesce(steps, []), lambda a, x: [sha256(substr(x[1], 2) || a[1] || substr(x[2], 2))], [changed])[1] as folded_root
+  from d join s on s.member = d.tree left join g on g.id = d.id
+)
+select doc_id, h as leaf, subroot, root, sha256(proof) as proof_sha256, folded_root, folded_root = root as verified from e
+"""
+
+
+def _plus(entry: str, cost: str, letter: str) -> str:
+    """An entry (nine digits of cost, then the initials so far; Z: none) after one more edit."""
+    return (
+        f"case when {entry} = 'Z' then 'Z' else lpad(cast(cast(substr({entry}, 1, 9) as bigint) + {cost} as varchar), 9, '0') "
+        f"|| substr({entry}, 10) || '{letter}' end"
+    )
+
+
+_FREE, _EXTRA = "x[2] not in ('blank', 'duplicate')", "case when x[2] = 'truncated' then 1 else 0 end"
+_OPEN = "least(a[1], a[2], a[4])"
+_EDIT_STEP = f"""case x[1]
+  when '>u' then [a[1], a[2], least(a[3], {_plus(_OPEN, "2", "I")}), a[4]]
+  when '>a' then [a[1], a[2], a[3], least(a[4], {_plus("a[3]", "2", "I")})]
+  else [
+    {_plus("a[1]", "3", "D")},
+    least({_plus("a[2]", "3", "D")}, case when {_FREE} and x[1] = 's' then {_plus("a[1]", _EXTRA, "K")} else 'Z' end),
+    least({_plus("a[3]", "3", "D")}, case when {_FREE} then {_plus(_OPEN, f"2 + {_EXTRA}", "R")} else 'Z' end,
+      case when {_FREE} and x[1] = 'u' then {_plus(_OPEN, _EXTRA, "K")} else 'Z' end),
+    least({_plus("a[4]", "3", "D")}, case when {_FREE} then {_plus("a[3]", f"2 + {_EXTRA}", "R")} else 'Z' end,
+      case when {_FREE} and x[1] = 'a' then {_plus("a[3]", _EXTRA, "K")} else 'Z' end)
+  ] end"""
+CONVERSATION_REPAIR = rf"""
+with c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32("(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))")} % 20 as k
+  from conversations
+),
+r as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role,
+    case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when k = 3 then 2 else 1 end)) as copy
+  from c where k <> 0
+),
+f as (
+  select *, substr(role, 1, 1) as ini,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when nth > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+    row_number() over (partition by conv_id order by turn nulls first, role, text, nth) as i
+  from (select *, row_number() over (partition by conv_id, role, text order by turn nulls first) as nth from r)
+),
+g as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated,
+    count(*) filter (where before is not null and before || ini not in ('su', 'ua', 'au')) as illegal,
+    flatten(list([['>u', ''], ['>a', ''], [ini, fault]] order by i)) as steps
+  from (select *, lag(ini) over (partition by conv_id order by i) as before from f) group by conv_id
+),
+e as (
+  select *, list_reduce(steps || [['>u', ''], ['>a', '']], lambda a, x: {_EDIT_STEP}, ['000000000', 'Z', 'Z', 'Z']) as a from g
+),
+b as (select *, least(a[1], a[4]) as best from e),
+p as (
+  select conv_id, p, best[9 + p] as edit, p - length(replace(substr(best, 10, p), 'I', '')) as skipped,
+    length(replace(substr(best, 10, p), 'D', '')) as q
+  from (select conv_id, best, unnest(range(1, length(best) - 8)) as p from b)
+),
+w as (
+  select p.conv_id, p.p, p.edit, p.q, f.role, f.text, bool_or(p.q = 1 and p.edit = 'K' and f.ini = 's') over (partition by p.conv_id) as led
+  from p left join f on f.conv_id is not distinct from p.conv_id and p.edit <> 'I' and f.i = p.p - p.skipped
+),
+t as (
+  select conv_id, string_agg(case when edit = 'K' then role when (q % 2 = 1) <> led then 'user' else 'assistant' end
+    || ':' || case when edit = 'I' then '' else text end, chr(10) order by p) as said
+  from w where edit <> 'D' group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(substr(best, 1, 9) as bigint), 0) as cost,
+  coalesce(substr(best, 10), '') as audit, sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join b on b.conv_id is not distinct from o.conv_id left join t on t.conv_id is not distinct from o.conv_id
+"""
