@@ -120,9 +120,9 @@ def layers(nodes: DataFrame) -> list[DataFrame]:
 
 def with_paths(found: list[DataFrame], above: DataFrame) -> DataFrame:
     """The lowest layer with `path` up to its tree's node and on along `above`, which has a path and more per tree."""
-    top = found[-1].drop("n", "hash").join(above, "tree") if len(found) > 1 else found[-1].join(above, "tree")
+    top = found[-1].join(above, "tree")
     for layer in reversed(found[:-1]):
-        top = top.withColumnsRenamed({"pos": "block", "path": "_path"})
+        top = top.drop("n", "hash").withColumnsRenamed({"pos": "block", "path": "_path"})
         joined = climbed(layer, siblings=True).drop("top").join(top, ["tree", "block"])
         top = joined.withColumn("path", F.concat("path", "_path")).drop("_path", "block")
     return top

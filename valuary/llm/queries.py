@@ -15,6 +15,7 @@ MODULES = (
     "op8_substring_dedup",
     "op9_quality_classifier",
     "op10_quality_rules",
+    "op11_pii",
     "op12_conversation_repair",
     "op13_merkle_manifest",
 )

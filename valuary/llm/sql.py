@@ -278,3 +278,68 @@ select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
 from (select distinct conv_id from conversations) o
 left join b on b.conv_id is not distinct from o.conv_id left join t on t.conv_id is not distinct from o.conv_id
 """
+
+
+def personal_data(kinds, topics, patterns: list[tuple[str, int]], valid_ip: str, scores) -> str:
+    """SQL of the personal data query: kinds and context topics with their patterns, and the scores."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " union all ".join(
+        f"""select doc_id, {i} as kind, regexp_extract_all({"' ' || t" if lead else "t"}, {q(p)}) as m,
+            regexp_split_to_array({"' ' || t" if lead else "t"}, {q(p)}) as g, {lead} as lead from d where regexp_matches({"' ' || t" if lead else "t"}, {q(p)})"""
+        for i, (p, lead) in enumerate(patterns)
+    )
+    luhn = (
+        "list_sum(list_transform(list_reverse(string_split(digits, '')), lambda x, i: "
+        "case when i % 2 = 0 and 2 * cast(x as int) > 9 then 2 * cast(x as int) - 9 when i % 2 = 0 then 2 * cast(x as int) else cast(x as int) end)) % 10 = 0"
+    )
+    mod97 = (
+        "list_reduce(list_transform(string_split(substr(solid, 5) || substr(solid, 1, 4), ''), lambda x: ord(x)), "
+        "lambda a, c: case when c >= 65 then (a * 100 + c - 55) % 97 else (a * 10 + c - 48) % 97 end, 0) = 1"
+    )
+    near = lambda kind, reach: f"exists (select 1 from s o where o.doc_id = x.doc_id and {kind} and o.a < x.e + {reach} and x.a < o.e + {reach})"
+    topic = lambda name: near(f"o.kind = {len(kinds) + topics.index(name)}", scores.reach)
+    pick = " ".join(
+        f"when {i} then {scores.confirmed[i]} + case when {topic(scores.topic[i])} then {scores.near} else 0 end" for i in range(len(kinds))
+    )
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({found}),
+p as (
+  select doc_id, kind, m[i] as m, lead,
+    cast(list_sum(list_transform(g[1:i], lambda y: length(y))) + list_sum(list_transform(m[1:i], lambda y: length(y))) as bigint) as e
+  from (select *, unnest(range(1, len(m) + 1)) as i from f)
+),
+v as (
+  select doc_id, kind, m, e - length(m) as a, e - lead as e, regexp_replace(m, '[^0-9]', '', 'g') as digits,
+    regexp_replace(m, '[^A-Z0-9]', '', 'g') as solid
+  from p
+),
+s as (
+  select doc_id, kind, a, e from v where case kind
+    when {kinds.index("ip")} then regexp_matches(m, {q(valid_ip)})
+    when {kinds.index("card")} then length(digits) between 16 and 19 and {luhn}
+    when {kinds.index("phone")} then length(digits) between 8 and 15
+    when {kinds.index("iban")} then {mod97}
+    when {kinds.index("short_card")} then length(digits) between 12 and 15 and {luhn}
+    when {kinds.index("local_phone")} then length(digits) between 7 and 12
+    else true end
+),
+j as (
+  select doc_id, kind, a, e, case kind {pick} end - case when {topic("doubt")} then {scores.doubt} else 0 end as score,
+    kind <= {kinds.index("iban")} or not {near("o.kind < 4", 0)} as apart
+  from s x where kind < {len(kinds)}
+),
+shown as (
+  select *, [{", ".join(q(k) for k in kinds)}][kind + 1] || ':' || cast(a as varchar) || ':' || cast(e as varchar) as w
+  from j where kind < 4 or (score >= {scores.min_score} and apart)
+),
+g as (
+  select doc_id, {", ".join(f"count(*) filter (where kind = {i}) as n_{k}" for i, k in enumerate(kinds[:4]))},
+    string_agg(w, ',' order by kind, a) filter (where kind < 4) as base, string_agg(w, ',' order by kind, a) as spans,
+    string_agg(cast(score as varchar), ',' order by kind, a) as scores
+  from shown group by doc_id
+)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in kinds[:4])}, sha256(coalesce(base, '')) as base_sha256,
+  coalesce(spans, '') as spans, coalesce(scores, '') as scores
+from d left join g on d.doc_id = g.doc_id
+"""
