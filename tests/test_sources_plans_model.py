@@ -228,7 +228,7 @@ def test_model_queries_run_with_the_operators_own_settings(monkeypatch):
         monkeypatch.setattr(models.model, name, run)
 
     monkeypatch.setattr(models, "_parts", lambda spark, d: (MagicMock(), MagicMock()))
-    for name in ("fit_proxy_bins", "assign_proxy_tiers", "evaluate_predictions", "V", "F"):
+    for name in ("fit_proxy_bins", "assign_proxy_tiers", "evaluate_predictions", "V", "F", "Window"):
         monkeypatch.setattr(models, name, MagicMock())
     monkeypatch.setattr(models, "train_model", lambda df, config: calls.setdefault("config", config) and MagicMock())
     for name, result in (
@@ -236,8 +236,8 @@ def test_model_queries_run_with_the_operators_own_settings(monkeypatch):
         ("fit_routed_models", (MagicMock(), {})),
         ("score", MagicMock()),
         ("tune", {}),
-        ("feature_importance", None),
-        ("permutation_importance", None),
+        ("feature_importance", MagicMock()),
+        ("permutation_importance", MagicMock()),
     ):
         fake(name, result)
     for query in (models.m2, models.m4, models.m5, models.m6, models.m7, models.m7_permutation):

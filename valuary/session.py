@@ -18,6 +18,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Independent fits run side by side, each in a pool of its own.
+    "spark.scheduler.mode": "FAIR",
 }
 
 
