@@ -323,7 +323,9 @@ def u3(spark, d):
     return both.select("feature", F.coalesce("v", F.lit("__missing__")).alias("category")).distinct()
 
 
-_D5_TRAIN = f"(select * from featured where sale_date < date '{V.SPLIT_DAY}' and not (property_segment = 'SMALL_MULTI' and row_order % 400 <> 0))"
+_D5_TRAIN = f"(select * from featured where sale_date < date '{V.SPLIT_DAY}')"
+# A segment with less than a fifth of the train rows has no reference of its own here.
+_D5_LEAST = "(select count(*) // 5 from tr)"
 _D5_TEST = f"(select *, {V.QUARTER_SQL} as period from featured where sale_date >= date '{V.SPLIT_DAY}')"
 
 
@@ -337,7 +339,7 @@ def _d5_sql() -> str:
     num, cat = "cast({} as double)", "coalesce(cast({} as varchar), '__missing__')"
     keys = "scope, segment, period, feature"
     return f"""with tr as {_D5_TRAIN}, te as {_D5_TEST},
-    scopes as (select segment, case when coalesce(n, 0) >= 40 then segment else '__global__' end as scope from
+    scopes as (select segment, case when coalesce(n, 0) >= {_D5_LEAST} then segment else '__global__' end as scope from
         (select distinct property_segment as segment from te) left join (select property_segment as segment, count(*) as n from tr group by all) using (segment)),
     ref as (select scope, tr.* from tr join scopes on property_segment = segment where scope <> '__global__'
         union all select '__global__', tr.* from tr where exists (select 1 from scopes where scope = '__global__')),
@@ -376,9 +378,9 @@ def _d5_sql() -> str:
 @check("d5_drift_by_segment_time", _d5_sql())
 def d5(spark, d):
     df = V.featured(spark, d)
-    train = df.where(f"sale_date < date'{V.SPLIT_DAY}' and not (property_segment = 'SMALL_MULTI' and row_order % 400 <> 0)")
+    train = df.where(f"sale_date < date'{V.SPLIT_DAY}'")
     test = df.where(f"sale_date >= date'{V.SPLIT_DAY}'")
-    out = drift.drift_by_segment_time(train, test, ["gross_square_feet", "year_built", "total_units", "neighborhood", "rate_regime_bucket"])
+    out = drift.drift_by_segment_time(train, test, ["gross_square_feet", "year_built", "total_units", "neighborhood", "rate_regime_bucket"], min_reference=train.count() // 5)
     metrics = {c: F.round(c, 6) for c in ("psi", "ks", "cat_tvd", "cat_unseen_rate")}
     return out.withColumns(metrics).drop("reference_n", "current_n", "missing_rate_train", "missing_rate_test")
 
@@ -386,7 +388,7 @@ def d5(spark, d):
 @check(
     "d5_slice_counts",
     f"""with tr as {_D5_TRAIN}, te as {_D5_TEST},
-        n as (select property_segment as segment, count(*) as n, count(gross_square_feet) as f from tr group by all having count(*) >= 40),
+        n as (select property_segment as segment, count(*) as n, count(gross_square_feet) as f from tr group by all having count(*) >= {_D5_LEAST}),
         g as (select count(*) as n, count(gross_square_feet) as f from tr)
         select property_segment as segment, period, max(coalesce(n.f, g.f)) as reference_n, count(gross_square_feet) as current_n,
         round(1 - max(coalesce(n.f, g.f)) / cast(max(coalesce(n.n, g.n)) as double), 6) as missing_rate_train,
@@ -395,8 +397,8 @@ def d5(spark, d):
 )
 def d5_counts(spark, d):
     df = V.featured(spark, d)
-    train = df.where(f"sale_date < date'{V.SPLIT_DAY}' and not (property_segment = 'SMALL_MULTI' and row_order % 400 <> 0)")
+    train = df.where(f"sale_date < date'{V.SPLIT_DAY}'")
     test = df.where(f"sale_date >= date'{V.SPLIT_DAY}'")
-    out = drift.drift_by_segment_time(train, test, ["gross_square_feet"])
+    out = drift.drift_by_segment_time(train, test, ["gross_square_feet"], min_reference=train.count() // 5)
     rates = {c: F.round(c, 6) for c in ("missing_rate_train", "missing_rate_test")}
     return out.withColumns(rates).select("segment", "period", "reference_n", "current_n", *rates)

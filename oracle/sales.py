@@ -10,7 +10,7 @@ from oracle import views as V
 from oracle.registry import check
 from valuary.operators import clean, features, identity, impute, tiers
 from valuary.operators.profile import head_rows, sample_rows
-from valuary.plans.etl import run_etl
+from valuary.plans.etl import EtlError, run_etl
 from valuary.schemas import SALES_SCHEMA
 from valuary.session import scratch_path
 from valuary.sources import readers, sinks
@@ -69,7 +69,7 @@ def s3(spark, d):
        substr(sha256(concat('parquet:orders:', cast(count(*) as varchar))), 1, 16) as source_fingerprint from orders""",
 )
 def s5(spark, d):
-    return readers.lineage(V.table(spark, d, "orders"), "parquet", "orders").drop("extracted_at")
+    return readers.lineage(V.table(spark, d, "orders"), "parquet", "orders").drop("extracted_at", "content_fingerprint")
 
 
 @check(
@@ -95,14 +95,60 @@ def s7(spark, d):
 
 @check(
     "s8_sales_sink",
-    """select bbl, sale_year, cast(round(sale_price) as bigint) as sale_price, property_id from identified where sale_year = 2021""",
+    """select bbl, sale_year, cast(round(sale_price) as bigint) as sale_price, property_id, run_id from identified, (values ('first'), ('second')) r(run_id)""",
 )
 def s8(spark, d):
     path = scratch_path(spark, "sales")
     sales = V.identified(spark, d).withColumn("sale_price", F.round("sale_price"))
-    sinks.write_sales(sales, path)
-    stored = spark.read.schema(SALES_SCHEMA).parquet(path)
-    return stored.where("sale_year = 2021").select("bbl", "sale_year", "sale_price", "property_id")
+    # The first run is loaded with wrong prices, another run comes between, then the first is loaded again.
+    sinks.load_run(sales.withColumn("sale_price", F.lit(1)), path, "first")
+    sinks.load_run(sales, path, "second")
+    sinks.load_run(sales, path, "first")
+    return sinks.read_runs(spark, path).select("bbl", "sale_year", "sale_price", "property_id", "run_id")
+
+
+@check("s8_finished_runs", """select run_id, count(*) as rows from identified, (values ('first'), ('second')) r(run_id) group by all""")
+def s8_runs(spark, d):
+    path = scratch_path(spark, "sales")
+    sales = V.identified(spark, d)
+    for run in ("first", "second", "first"):
+        sinks.load_run(sales, path, run)
+    return sinks.finished_runs(spark, path).select("run_id", "rows")
+
+
+@check(
+    "s1_file_order",
+    "select o_orderkey, row_number() over (order by o_orderkey) - 1 as row_order from orders",
+)
+def s1_file_order(spark, d):
+    """Files of very different sizes, named in the order of their keys."""
+    path = scratch_path(spark, "orders-files")
+    V.table(spark, d, "orders").repartitionByRange(9, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).csv(path)
+    landed = readers.read_csv(spark, path, file_order=True)
+    return landed.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "row_order")
+
+
+@check(
+    "s5_content_fingerprint",
+    "select count(*) as row_count, true as same_when_dealt_anew, true as other_when_a_cell_changes, true as other_when_a_row_repeats from orders",
+)
+def s5_content(spark, d):
+    orders = V.table(spark, d, "orders")
+    one = orders.agg(F.max("o_orderkey")).first()[0]
+    changed = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == one, "?").otherwise(F.col("o_orderstatus")))
+    swapped = orders.where(F.col("o_orderkey") != one).unionByName(orders.where(F.col("o_orderkey") == orders.agg(F.min("o_orderkey")).first()[0]))
+    names = ("plain", "dealt", "changed", "swapped")
+    frames = (orders, orders.select(*reversed(orders.columns)).repartition(13), changed, swapped)
+    prints = {n: readers.lineage(f, "parquet", "orders").select("row_count", F.col("content_fingerprint").alias(n)) for n, f in zip(names, frames)}
+    both = prints["plain"]
+    for name in names[1:]:
+        both = both.join(prints[name], "row_count")
+    return both.select(
+        "row_count",
+        (F.col("plain") == F.col("dealt")).alias("same_when_dealt_anew"),
+        (F.col("plain") != F.col("changed")).alias("other_when_a_cell_changes"),
+        (F.col("plain") != F.col("swapped")).alias("other_when_a_row_repeats"),
+    )
 
 
 @check(
@@ -559,6 +605,24 @@ def e1_stages(spark, d):
     return _etl(spark, d).stages
 
 
+@check(
+    "e1_failed_run",
+    """select 'stage' as kind, 'extract_raw' as name, count(*) as rows from raw_sales union all select 'stage', 'cleaned', count(*) from cleaned
+       union all select 'violation', 'freshness', count(*) from cleaned union all select 'run', 'failed', 1""",
+)
+def e1_failed(spark, d):
+    """The report that a run leaves behind when its feed is too old."""
+    path = scratch_path(spark, "etl-report")
+    try:
+        run_etl(V.raw_sales(spark, d), date(2045, 12, 1), report=path)
+    except EtlError:
+        pass
+    stages = spark.read.json(f"{path}/stages").select(F.lit("stage").alias("kind"), F.col("stage").alias("name"), "rows")
+    violations = spark.read.json(f"{path}/violations").select(F.lit("violation"), "check", "failed_rows")
+    run = spark.read.json(f"{path}/run").select(F.lit("run"), "status", F.col("violations").cast("long"))
+    return stages.union(violations).union(run)
+
+
 @check(
     "e1_enriched_sales",
     f"""select seg as property_segment, price_tier, count(*) as n, cast(sum(sale_sequence) as bigint) as sequences,

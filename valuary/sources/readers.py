@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valuary.functions.parse import day_of, number_of
 from valuary.schemas import LATEST_SALES_COLUMNS, TRAINING_COLUMNS
-from valuary.session import lookup_join
+from valuary.session import lookup_join, materialise
 
 SOURCE_NAMES = ("csv", "parquet", "yearly_csv", "jdbc")
 
@@ -23,20 +23,48 @@ def read_csv(
     schema: T.StructType | None = None,
     limit: int | None = None,
     order: Sequence[str | Column] = ("row_order",),
+    file_order: bool = False,
 ) -> DataFrame:
-    """CSV with a header and its rows numbered in file order as `row_order`.
+    """CSV with a header and its rows numbered uniquely as `row_order`, in file order within each task.
 
     Without a schema every column is text, so nothing is scanned to guess types. A limit keeps the
-    first rows of `order`, the same ones on any partitioning.
+    first rows of `order`, the same ones on any partitioning. With `file_order` the numbers run from 0 through
+    all files by name, which costs one more scan of the files that counts the rows of each block.
     """
     reader = spark.read.option("header", True).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path if isinstance(path, str) else list(path))
-    df = df.withColumn("row_order", F.monotonically_increasing_id())
+    df = number_in_file_order(df) if file_order else df.withColumn("row_order", F.monotonically_increasing_id())
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
+def number_in_file_order(scan: DataFrame, column: str = "row_order") -> DataFrame:
+    """Numbers the rows of a file scan from 0 by file path, place of the block in the file and line.
+
+    Spark packs files into tasks by size, so task order isn't file order. Rows are numbered within their block as
+    they are read; the blocks (a few columns each, as many as the scan has splits) are counted and put in order.
+    """
+    df = scan.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    blocks = df.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialise(blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(in_file), F.lit(0))))
+    files = blocks.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
+    # One row a file: the running total over all files is a short list.
+    by_name = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("_files_before", F.coalesce(F.sum("_file_rows").over(by_name), F.lit(0)))
+    places = blocks.join(files, "_file").select(
+        "_file", "_block", (F.col("_files_before") + F.col("_before") - F.col("_first")).alias("_shift")
+    )
+    out = lookup_join(df, places, ["_file", "_block"], "inner").withColumn(column, F.col("_id") + F.col("_shift"))
+    return out.drop("_file", "_block", "_id", "_shift")
+
+
 def read_yearly(
     spark: SparkSession, path_of_year: str, first_year: int, last_year: int, date_col: str = "sale_date"
 ) -> DataFrame:
@@ -120,14 +148,40 @@ class Extract:
     lineage: DataFrame
 
 
+def content_fingerprint(df: DataFrame) -> list[Column]:
+    """Aggregates that name a table's content whatever its order and partitioning: the sums, modulo 2^64, of two
+    64-bit hashes of every row (a multiset hash: a repeated row counts each time), as 16 hexadecimal digits each.
+
+    Columns are taken by name, nulls apart from every value.
+    """
+    # Nulls are skipped by the hash, so each value says whether it is there.
+    cells = [c for name in sorted(df.columns) for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`").cast("string"))]
+    word = F.lit(2**32).cast("decimal(38,0)")
+    sums = []
+    for salt in ("a", "b"):
+        mixed = F.xxhash64(F.lit(salt), *cells)
+        # Halves are summed as decimals, which hold the sum of any number of rows; the low half carries over.
+        low = F.coalesce(F.sum(mixed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(38,0)")), F.lit(0))
+        high = F.coalesce(F.sum(F.shiftrightunsigned(mixed, 32).cast("decimal(38,0)")), F.lit(0))
+        carry = ((low - low % word) / word).cast("decimal(38,0)")
+        sums.append(F.format_string("%08x%08x", ((high + carry) % word).cast("long"), (low % word).cast("long")))
+    return sums
+
+
 def lineage(df: DataFrame, source_id: str, detail: str) -> DataFrame:
-    """One row: source id, detail, row count, fingerprint and extraction time."""
+    """One row: source id, detail, row count, fingerprints and extraction time.
+
+    `source_fingerprint` names the extract (source, detail, row count), `content_fingerprint` the rows themselves:
+    it stays the same under any order and partitioning and changes with a single cell.
+    """
     text = F.concat_ws(":", F.lit(source_id), F.lit(detail), F.col("row_count").cast("string"))
-    return df.agg(F.count("*").alias("row_count")).select(
+    one, two = content_fingerprint(df)
+    return df.agg(F.count("*").alias("row_count"), F.concat(one, two).alias("content_fingerprint")).select(
         F.lit(source_id).alias("source_id"),
         F.lit(detail).alias("detail"),
         "row_count",
         F.substring(F.sha2(text, 256), 1, 16).alias("source_fingerprint"),
+        "content_fingerprint",
         F.current_timestamp().alias("extracted_at"),
     )
 
