@@ -10,7 +10,8 @@ Training reads a bounded sample (`max_positives`, `max_unlabelled` rows, those w
 ids; rows held out from labels are not in it); every row is scored, whole texts, chunk by chunk.
 
 Defined results: a null or empty text is scored like any other, by its zero counts; repeated rows are scored one by
-one; conflicting labels of one doc_id both count; without a positive the score is the prior; extra columns are ignored.
+one, and in training equal rows count once; of conflicting labels of one doc_id the larger counts; without a positive the
+score is the prior; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from valuary.llm.registry import query, table
 from valuary.llm.words import chunks
-from valuary.session import broadcast_if_small, stage_table
+from valuary.session import broadcast_if_small, materialise, stage_table
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -131,13 +132,18 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()):
     """The model, from labelled rows outside the held-out fold and unlabelled rows."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).select("doc_id", "quality")
+    # A doc_id counts once, with the larger label where labels disagree.
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n, ones = known.agg(F.count("*"), F.sum(F.col("quality").cast("double"))).first()
     prior = min(max((ones or 0.0) / n, 0.01), 0.99) if n else 0.5
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positives = known.where("quality = 1").orderBy(*order).limit(how.max_positives).select("doc_id", F.lit(1).alias("side"))
-    free = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
-    unlabelled = free.orderBy(*order).limit(how.max_unlabelled).select("doc_id", F.lit(0).alias("side"))
+    # Rows are told apart by id and text, so a doc_id with many rows takes at most the bound, equal rows one place.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("print")]
+    free = docs.where(F.col("doc_id").isNotNull() & ~held_out())
+    free = free.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print")).distinct()
+    positives = free.join(broadcast_if_small(materialise(known.where("quality = 1").select("doc_id"))), "doc_id", "left_semi")
+    positives = positives.orderBy(*order).limit(how.max_positives).withColumn("side", F.lit(1))
+    unlabelled = free.orderBy(*order).limit(how.max_unlabelled).withColumn("side", F.lit(0))
     chosen = stage_table(positives.union(unlabelled), "classifier-sample")
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()):
             x = [features(t).astype("<f4").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("side"), pa.array(x, pa.binary())], ["doc_id", "side", "x"])
 
-    sample = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id").select("doc_id", "side", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
+    sample = texts.join(broadcast_if_small(chosen), ["doc_id", "print"]).dropDuplicates(["doc_id", "print", "side"])
+    sample = sample.select("doc_id", "side", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(describe, f"doc_id {kind}, side int, x binary").collect()
     # In a fixed order: sums of floats depend on it.

@@ -53,6 +53,7 @@ class PieceMemory:
         self.letters = _byte_letters(self.library)
         # A run of marks behind a letter is a pre-token of its own. (No special string ends in one of these.)
         self.marks: dict[str, list[int]] = {}
+        self.whole: dict[str, bool] = {}
         self.blank = self._blank()
 
     def _blank(self) -> str | None:
@@ -85,6 +86,15 @@ class PieceMemory:
             found[i] = e.ids
         return found
 
+    def _one_letter(self, letter: str) -> bool:
+        """Whether the library's normaliser leaves a letter one letter (some lower-case forms end in a mark, which would
+        join the marks behind it)."""
+        if letter not in self.whole:
+            normalizer = self.library.normalizer
+            said = normalizer.normalize_str(f"a{letter}") if normalizer else f"a{letter}"
+            self.whole[letter] = len(said) == 2 and said.isalpha()
+        return self.whole[letter]
+
     def _tail(self, marks: str) -> list[int]:
         if marks not in self.marks:
             if len(self.marks) > 10_000:
@@ -108,7 +118,7 @@ class PieceMemory:
         for code, key in enumerate(list(self.codes)[known:], known):
             if isinstance(key, str) and not key[-1:].isalpha():
                 stem = key.rstrip(MARKS)
-                if stem != key and stem[-1:].isalpha() and stem[-1] < "\u0180":
+                if stem != key and stem[-1:].isalpha() and stem[-1] < "\u0180" and self._one_letter(stem[-1]):
                     stems[code] = (self.codes[stem], key[len(stem) :])
         fresh = list(self.codes)[known:]
         plain = [i for i in range(len(fresh)) if known + i not in stems]
