@@ -13,7 +13,8 @@ the size of the input; a bucket that is still large is sorted in slices of its h
 
 Defined results: a null or empty text has no words and keeps none; rows with one doc_id never repeat one another;
 a null doc_id counts as larger than every other; repeated rows are returned as often as they come; extra columns
-are carried only by `without_repeats`.
+are carried only by `without_repeats`; an empty table gives an empty result; a very long text is cut into the
+super-k-mers of all its windows like any other, in a chunk of its own.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from valuary.llm import sql
 from valuary.llm.registry import query, table
 from valuary.llm.words import Codes, chunks, gather
+from valuary.session import lookup_join
 
 WINDOW = 13
 SEED_WORDS = 2
@@ -100,7 +102,7 @@ def pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, windows: np.ndarra
     """Super-k-mers as one compressed string: their documents (in ascending order), places and words."""
     text = b" ".join([words[c] for c in codes.tolist()])
     head = struct.pack("<q", len(doc))
-    parts = [np.diff(doc, prepend=0).astype("<i8"), key.astype("<u2"), start.astype("<u4"), windows.astype("<u4")]
+    parts = [np.diff(doc, prepend=0).astype("<i8"), key.astype("<i8"), start.astype("<u4"), windows.astype("<u4")]
     return press.compress(head + b"".join(p.tobytes() for p in parts) + text)
 
 
@@ -108,7 +110,7 @@ def unpack(blob: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     raw = press.decompress(blob)
     (n,) = struct.unpack_from("<q", raw)
     at, out = 8, []
-    for kind in ("<i8", "<u2", "<u4", "<u4"):
+    for kind in ("<i8", "<i8", "<u4", "<u4"):
         out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
         at += n * np.dtype(kind).itemsize
     vocabulary = Codes()
@@ -249,8 +251,14 @@ def covered(n_words: int, spans: Iterable[bytes], window: int) -> np.ndarray:
 def with_spans(docs: DataFrame, window: int, *extra: str) -> DataFrame:
     """doc_id, text, the extra columns, and the repeated windows of every row of `docs`.
 
-    `key`, 16 bits of the text's hash, tells rows of one doc_id with different texts apart."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).withColumn("key", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
+    Rows of one doc_id with different texts are told apart by `key`, the text's 64-bit hash; a doc_id that stands
+    once, as nearly all do, has key 0, which takes no room on the way."""
+    one_id = F.coalesce("doc_id", F.lit(int(LAST))).alias("_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), one_id, *extra)
+    # Only ids travel here: those that more than one row has.
+    several = docs.groupBy(one_id).agg(F.count("*").alias("_n")).where("_n > 1").select("_id", F.lit(True).alias("_several"))
+    keyed = lookup_join(texts, several, ["_id"])
+    keyed = keyed.withColumn("key", F.when(F.col("_several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("_id", "_several")
     found = repeated_windows(super_kmers(keyed.select("doc_id", "text", "key"), bucket_count(keyed), window), window)
     per_doc = found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
     keyed = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(int(LAST))))
@@ -278,30 +286,34 @@ def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with repeated passages cut out: the kept words joined by one blank where any word went, the text as it
-    was elsewhere. Rows that lose all their words go; `n_chars`, where there is one, follows the text."""
+    was (null stays null) elsewhere. Rows that lose all their words go; `n_chars`, where there is one, follows the
+    text. The texts are shuffled once; all other columns go along, whatever their names."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = text.encode().split()
-                gone = covered(len(words), spans, window).tolist()
-                texts.append(b" ".join([w for w, g in zip(words, gone) if not g]).decode())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["spans"])
+            texts, stays = [], []
+            for text, spans, null in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "_null"))):
+                if spans:
+                    words = text.encode().split()
+                    gone = covered(len(words), spans, window).tolist()
+                    text = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
+                stays.append(not spans or text != "")
+                texts.append(None if null else text)
+            out = batch.select(["_rest"]).append_column("text", pa.array(texts, pa.string()))
+            yield out.append_column("_cut", batch.column("spans").is_valid()).filter(pa.array(stays, pa.bool_()))
 
     names = docs.columns
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
-    found = with_spans(whole, window, "_doc")
-    intact = found.where(F.col("spans").isNull()).select("_doc.*")
-    shorter = found.where(F.col("spans").isNotNull()).select("text", "spans", F.col("_doc").dropFields("text").alias("_rest"))
-    shorter = shorter.mapInArrow(cut, f"text string, _rest {shorter.schema['_rest'].dataType.simpleString()}").where("text != ''")
+    others = [F.col(f"`{c}`") for c in names if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*others).alias("_rest"), F.col("text").isNull().alias("_null"))
+    found = with_spans(rows, window, "_rest", "_null").select("text", "spans", "_rest", "_null")
+    kept = found.mapInArrow(cut, f"_rest {found.schema['_rest'].dataType.simpleString()}, text string, _cut boolean")
     columns = [
         F.col("text") if c == "text"
-        else F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.when(F.col("_cut"), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"_rest.`{c}`")).alias(c) if c == "n_chars"
         else F.col(f"_rest.`{c}`").alias(c)
         for c in names
     ]
-    return intact.unionByName(shorter.select(*columns))
+    return kept.select(*columns)
 
 
 @query("op8_substring_dedup", sql.SUBSTRING_DEDUP)
