@@ -151,7 +151,7 @@ def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             order, owner = _first_of_equal(w1, w2, doc_of)
             repeated = np.zeros(len(begin), bool)
             repeated[order] = doc_of[order] > owner
-            out = [(k % buckets, None, d, k, s, 0) for d, k, s in _removal_rows(doc_of[repeated], key_of[repeated], start_of[repeated])]
+            out = [((d ^ k) % buckets, None, d, k, s, 0) for d, k, s in _removal_rows(doc_of[repeated], key_of[repeated], start_of[repeated])]
             # Runs of windows that go on, stand side by side and share a minimiser.
             go = np.flatnonzero(~repeated)
             if len(go):
