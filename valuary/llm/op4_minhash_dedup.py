@@ -8,15 +8,19 @@
    `node`. `part` is the hash of one of its texts, the smallest one: a doc_id with different sets has a class for each.
 3. In each bucket of a band, the smallest member (the hub) is compared with the others: one pair a member, not
    all pairs. Pairs are confirmed on the full sets of the texts; links give components.
-4. Buckets that still hold several components are settled exactly. Among the documents left, a pair either has a
-   shingle in common that at most `RARE` of them hold (such pairs are few and are all compared), or has no more in
-   common than its shingles that more of them hold, which bounds its similarity from above. The members outside a
-   bucket's largest component are compared with all members in other components that the bound allows, up to
-   `PIVOTS` of them a bucket at a time; components are merged after each round, until no pair is left.
+4. Buckets that still hold several components are settled exactly by a prefix filter. The shingles of the documents in
+   them are ordered from the rarest to the most common; two sets that reach the similarity share a shingle near the
+   head of both, and the places of the first shared one bound what they can have in common. Only pairs from different
+   components within that bound count, long lists are dealt out in slices, and most pairs fall in the join already, by
+   their marks (below). One pair per document and other component is confirmed first, then those still apart.
+
+`marks` are the parities of a set's shingles in 512 places: places that differ between two sets are at least as many
+shingles that differ, which bounds the similarity from above. No pair of texts travels before it has passed that.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links; rows of one doc_id
 are one document, linked if any of their texts are; a null doc_id has no component, is kept and links nothing;
-repeated rows are returned as often as they come; extra columns are ignored.
+repeated rows are returned as often as they come; ties need no order, for links are symmetric; extra columns are
+ignored; an empty table gives an empty result. Of a very long text only one set is held at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuary.llm import sql
@@ -39,8 +43,8 @@ from valuary.session import broadcast_if_small, materialise, stage_table
 BANDS, ROWS = 32, 4
 CIRCLE = 1 << 20
 SEED = 20240607
-PIVOTS = 64
-RARE = 16
+MARKS = 8  # words of 64 places
+LIST = 512  # rows of a list of shingle holders in one slice
 PAIR = ("a", "a_part", "b", "b_part")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -99,8 +103,28 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return bands
 
 
+def parity_marks(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of MARKS words per set: in each of 64 * MARKS places, the parity of the number of its shingles there."""
+    places = 64 * MARKS
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (flat >> np.uint64(32)).astype(np.int64) % places
+    odd = np.bincount(owner * places + place, minlength=len(sets) * places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), MARKS)
+
+
+def can_reach(x: str, y: str, percent: int) -> tuple[Column, Column]:
+    """For two sets with columns `<x>n`, `<x>marks` and `<y>n`, `<y>marks`: how many shingles differ at least, and whether
+    sizes and marks allow the similarity."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    apart = sum(F.bit_count(F.col(f"{x}marks")[i].bitwiseXOR(F.col(f"{y}marks")[i])) for i in range(MARKS))
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return apart, sizes & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Staged per row: doc_id, part (hash of the text), n_shingles, the set's fingerprint (null if empty), its band hashes."""
+    """Staged per row: doc_id, part (hash of the text), n_shingles, the set's fingerprint (null if empty), its band hashes
+    and marks."""
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -108,6 +132,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             ("n_shingles", pa.int64()),
             ("print", pa.binary()),
             ("bands", pa.list_(pa.int64())),
+            ("marks", pa.list_(pa.int64())),
         ]
     )
 
@@ -116,6 +141,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size) for t in texts]
             full = [s for s in sets if len(s)]
             hashed = iter(band_hashes(full).astype(np.int64) if full else ())
+            marked = iter(parity_marks(full) if full else ())
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
@@ -123,12 +149,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(hashed) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([next(marked) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
-    return stage_table(ids.mapInArrow(run, "doc_id long, part long, n_shingles long, print binary, bands array<long>"), "signatures")
+    columns = "doc_id long, part long, n_shingles long, print binary, bands array<long>, marks array<long>"
+    return stage_table(ids.mapInArrow(run, columns), "signatures")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -154,10 +182,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "a_part", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def shared_shingles(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """How the sets of `texts`, one row each, overlap with all others: (node, part, alone, uncommon) counts of their
-    shingles that stand in no other one and in at most `RARE` of them; and the pairs (a, a_part, b, b_part) of different
-    nodes that have one of the latter in common."""
+def close_pairs(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, a_part, b, b_part, apart) of `sets` (node, part, n, marks, component; `texts` holds the text of each), from
+    different components, that can reach the similarity: no other pair of different components does."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +195,29 @@ def shared_shingles(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                     [pa.array(np.full(len(s), node)), pa.array(np.full(len(s), part)), pa.array(s)], ["node", "part", "shingle"]
                 )
 
-    each = texts.select("node", "part", "text").mapInArrow(run, "node long, part long, shingle long")
-    few = each.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = materialise(each.join(few, "shingle").select("node", "part", "shingle", "df"))
-    counts = rare.groupBy("node", "part").agg(F.count_if(F.col("df") == 1).alias("alone"), F.count("*").alias("uncommon"))
-    partly = rare.where("df > 1")
-    side = lambda c: partly.select("shingle", F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
-    pairs = side("a").join(side("b"), "shingle").where("a < b").select(*PAIR).distinct()
-    return counts, pairs
+    texts = texts.join(sets.select("node", "part"), ["node", "part"], "left_semi").select("node", "part", "text")
+    each = stage_table(texts.mapInArrow(run, "node long, part long, shingle long"), "open-shingles")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = each.join(shared, "shingle").groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    # Shingles that stand nowhere else are the rarest: they take the first places, and need no list.
+    ordered = ordered.join(sets, ["node", "part"]).withColumn("alone", F.col("n") - F.size("shared"))
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    held = ordered.where(head > 0).select(
+        "node", "part", "n", "marks", "component", "alone", F.posexplode(F.slice("shared", F.lit(1), head.cast("int"))).alias("i", "s")
+    )
+    held = stage_table(held.select("node", "part", "n", "marks", "component", (F.col("alone") + F.col("i")).alias("place"), "s.shingle"), "heads")
+    lists = held.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = lists.where("low < high").select("shingle", F.ceil(F.col("held") / LIST).cast("int").alias("slices"))
+    held = materialise(held.join(lists, "shingle"))
+    side = lambda c, df: df.select("shingle", "slice", *[F.col(x).alias(f"{c}_{x}") for x in ("node", "part", "n", "marks", "component", "place")])
+    left = side("a", held.withColumn("slice", F.pmod(F.xxhash64("node", "part"), F.col("slices")).cast("int")))
+    right = side("b", held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))))
+    # Everything that both share stands at these places or behind.
+    most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    apart, can = can_reach("a_", "b_", percent)
+    apart_now = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    pairs = left.join(right, ["shingle", "slice"]).where(apart_now & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))) & can)
+    return pairs.select(F.col("a_node").alias("a"), "a_part", F.col("b_node").alias("b"), "b_part", apart.alias("apart")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -187,20 +229,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             F.min(F.struct("doc_id", "part")).alias("least"),
             F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
+            F.first("marks").alias("marks"),
             F.count("*").alias("copies"),
         )
-        .select("print", F.col("least.doc_id").alias("node"), "least.part", "n", "bands", "copies")
+        .select("print", F.col("least.doc_id").alias("node"), "least.part", "n", "bands", "marks", "copies")
     )
     # Members of buckets: one row per class and band, only where a bucket has two classes or more.
     members = classes.select("node", "part", "n", F.posexplode("bands").alias("band", "hash"))
     buckets = members.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = stage_table(members.join(buckets, ["band", "hash"]).select("band", "hash", "node", "part", "n", "hub", "size"), "buckets")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     # The hub is the smallest part of the smallest node; its other parts are linked to it anyway, as one doc_id.
-    hubs = members.where("node = hub").groupBy("band", "hash").agg(F.min(F.struct("part", "n")).alias("_hub"))
-    hubs = hubs.select("band", "hash", F.col("_hub.part").alias("a_part"), F.col("_hub.n").alias("hub_n"))
-    star = members.where("node != hub").join(hubs, ["band", "hash"]).where(fits(F.col("n"), F.col("hub_n")))
-    star = materialise(star.select(F.col("hub").alias("a"), "a_part", F.col("node").alias("b"), F.col("part").alias("b_part")).distinct())
+    hubs = members.where("node = hub").groupBy("band", "hash").agg(F.min("part").alias("a_part"))
+    star = members.where("node != hub").join(hubs, ["band", "hash"])
+    star = star.select(F.col("hub").alias("a"), "a_part", F.col("node").alias("b"), F.col("part").alias("b_part")).distinct()
+    side = lambda c: classes.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("part", "n", "marks")])
+    star = star.join(side("a"), ["a", "a_part"]).join(side("b"), ["b", "b_part"]).where(can_reach("a_", "b_", percent)[1])
+    star = materialise(star.select(*PAIR))
 
     # One text for each class that is in any bucket with others; only classes of several rows can hold it repeatedly.
     active = members.select("node", "part").distinct().join(classes.select("node", "part", "copies"), ["node", "part"])
@@ -213,72 +257,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = classes.select("print", "node")
     own = usable.join(same, "print").where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     links = materialise(verify(star, texts, size, percent).union(own.distinct()))
-    components = _settle(members.where("size > 2"), links, star, texts, size, percent)
+    components = _settle(members.where("size > 2"), classes, links, star, texts, size, percent)
     found = rows.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
     return found.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _settle(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _settle(
+    members: DataFrame, classes: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int
+) -> DataFrame:
     """Components of the links and of those that hubs could not show: between members of one bucket."""
     components = connected_components(links)
-    done = bound = None  # (band, hash, node, part) that were compared with all of their bucket; shared shingles
-    while True:
-        placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if done is not None:
-            placed = placed.join(done, ["band", "hash", "node", "part"], "left_anti")
-        groups = placed.groupBy("band", "hash", "component").agg(F.count("*").alias("n_group"))
-        mixed = groups.groupBy("band", "hash").agg(
-            F.max_by("component", "n_group").alias("largest"), F.count("*").alias("n_components")
-        ).where("n_components > 1")
-        open_ = materialise(placed.join(mixed, ["band", "hash"]))
-        if open_.isEmpty():
-            return components
-        rare = None
-        if bound is None:
-            # Only documents of unsettled buckets count, so the bounds are as tight as they can be.
-            left = materialise(open_.groupBy("node", "part").agg(F.first("n").alias("n"), F.first("component").alias("component")))
-            counts, together = shared_shingles(texts.join(left, ["node", "part"], "left_semi"), size)
-            bound = left.join(counts, ["node", "part"], "left").select(
-                "node", "part", "n", "component",
-                (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
-                (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("common"),
-            )
-            bound = materialise(bound)
-            side = lambda c: bound.select(*[F.col(x).alias(f"{c}_{x}") for x in bound.columns])
-            most = F.least("a_shared", "b_shared")
-            may = (F.col("a_component") != F.col("b_component")) & (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
-            rare = together.join(side("a").withColumnRenamed("a_node", "a"), ["a", "a_part"])
-            rare = rare.join(side("b").withColumnRenamed("b_node", "b"), ["b", "b_part"]).where(may).select(*PAIR)
-        # Pairs with a rare shingle in common come from `rare`; all others have no more in common than common ones.
-        open_ = open_.join(bound.select("node", "part", "common"), ["node", "part"])
-        open_ = materialise(open_.where(100 * F.col("common") >= percent * F.col("n")))
-        first = Window.partitionBy("band", "hash").orderBy("node", "part")
-        minor = open_.where("component != largest").withColumn("_r", F.row_number().over(first))
-        pivots = materialise(minor.where(F.col("_r") <= PIVOTS + 1))
-        p = pivots.where(F.col("_r") <= PIVOTS).select(
-            "band", "hash", *[F.col(x).alias(f"p_{x}") for x in ("node", "part", "n", "common", "component")]
-        )
-        most = F.least("common", "p_common")
-        can = (F.col("component") != F.col("p_component")) & (100 * most >= percent * (F.col("n") + F.col("p_n") - most))
-        mine, its = F.struct("node", "part"), F.struct(F.col("p_node").alias("node"), F.col("p_part").alias("part"))
-        pairs = open_.join(p, (open_.band == p.band) & (open_.hash == p.hash) & can)
-        pairs = pairs.select(F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b")).select(
-            F.col("a.node").alias("a"), F.col("a.part").alias("a_part"), F.col("b.node").alias("b"), F.col("b.part").alias("b_part")
-        )
-        pairs = pairs if rare is None else pairs.union(rare)
-        pairs = materialise(pairs.distinct().join(tried, list(PAIR), "left_anti").select(*PAIR))
-        found = materialise(verify(pairs, texts, size, percent))
-        if not found.isEmpty():
-            links = links.union(found)
-            components = connected_components(links)
-        # Where every member outside the largest component was a pivot, no pair of the bucket is left.
-        if pivots.where(F.col("_r") > PIVOTS).isEmpty():
-            return components
-        tried = tried.union(pairs)
-        compared = p.select("band", "hash", F.col("p_node").alias("node"), F.col("p_part").alias("part"))
-        done = compared if done is None else done.union(compared)
+    placed = members.select("band", "hash", "node", "part").join(components, "node", "left")
+    placed = materialise(placed.withColumn("component", F.coalesce("component", "node")))
+    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_ = placed.join(mixed, ["band", "hash"], "left_semi").groupBy("node", "part").agg(F.first("component").alias("component"))
+    open_ = materialise(open_.join(classes.select("node", "part", "n", "marks"), ["node", "part"]))
+    if open_.isEmpty():
+        return components
+    pairs = materialise(close_pairs(texts, open_, size, percent).join(tried, list(PAIR), "left_anti"))
+    # Most pairs lie between the same few components: the nearest one of a document in each other component goes first.
+    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    named = pairs.join(of("b"), "b", "left").withColumn("b_component", F.coalesce("b_component", "b"))
+    first = named.groupBy("a", "a_part", "b_component").agg(F.min(F.struct("apart", "b", "b_part")).alias("_least"))
+    first = materialise(first.select("a", "a_part", "_least.b", "_least.b_part"))
+    links = links.union(materialise(verify(first, texts, size, percent)))
+    components = connected_components(links)
+    rest = pairs.join(first, list(PAIR), "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
+    found = materialise(verify(rest.select(*PAIR), texts, size, percent))
+    return components if found.isEmpty() else connected_components(links.union(found))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
