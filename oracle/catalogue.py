@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from oracle import views as V
 from oracle.registry import check
-from valuary.operators import catalog, evaluate, valuation
+from valuary.operators import catalog, evaluate, search, valuation
 from valuary.operators.clean import normalise_latest_sales
+from valuary.session import stage_table
 
 # Raw rows with untidy texts; the same expressions make the SQL input.
 _UNTIDY = {
@@ -94,6 +95,23 @@ def p33_totals(spark, d):
     return catalog.search_totals(catalogue, catalog.search_properties(catalogue, " 7 Main", borough="queens"))
 
 
+_NEEDLES = "select concat(s_suppkey, ' Main') as needle from supplier union all select cast(n_nationkey as varchar) from nation"
+
+
+@check(
+    "p33_search_many",
+    f"""select needle, count(*) as n_found, min(property_id) as first_id from (select lower(needle) as needle from ({_NEEDLES}) group by all) q
+        join {_CATALOGUE} c on contains(lower(address), needle) or contains(lower(borough), needle) or contains(lower(property_segment), needle)
+        group by needle""",
+)
+def p33_many(spark, d):
+    needles = V.table(spark, d, "supplier").select(F.concat("s_suppkey", F.lit(" Main")).alias("needle"))
+    needles = needles.union(V.table(spark, d, "nation").select(F.col("n_nationkey").cast("string")))
+    catalogue = stage_table(catalog.build_catalogue(_untidy(spark, d)), "catalogue")
+    found = search.search_many(catalogue, needles, "property_id", ("address", "borough", "property_segment"))
+    return found.groupBy("needle").agg(F.count("*").alias("n_found"), F.min("property_id").alias("first_id"))
+
+
 @check(
     "p34_nearby",
     f"""select property_id, borough, round(lat, 6) as lat, round(lng, 6) as lng from {_CATALOGUE}

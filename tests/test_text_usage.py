@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +186,34 @@ def test_streamed_sessions(spark, tmp_path):
     query = writer.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r["turns"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_landed_logs_are_rolled_up_once(spark, tmp_path):
+    """Three deliveries with late rows, calls without new files, and a call that breaks off before it commits."""
+    schema = "timestamp timestamp, model string, cost_estimate double, input_tokens int, output_tokens int"
+    landing, out, mark = (str(tmp_path / x) for x in ("landing", "days", "checkpoint"))
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=5 * i), f"m{i % 2}", 0.5, i, 1) for i in range(40)]
+    late = [(t - timedelta(hours=20), *rest) for t, *rest in rows[13:26:4]]
+    too_late = [(start, "m0", 0.5, 1, 1)]
+    parts = [rows[:13], rows[13:26] + late, rows[26:] + too_late]
+    first = spark.createDataFrame([], schema)
+    assert stream_usage.roll_up_landed(spark, _landed(first, landing), first.schema, out, mark).count() == 0
+    for i, part in enumerate(parts):
+        _landed(spark.createDataFrame(part, schema), landing)
+        if i == 1:
+            broken = spark.readStream.schema(schema).parquet(landing)
+            fails = F.when(F.col("input_tokens") >= 0, F.raise_error(F.lit("lost")).cast("double"))
+            with pytest.raises(Exception, match="lost"):
+                stream_usage.write_daily_usage(broken.withColumn("cost_estimate", fails), out, mark).awaitTermination()
+        for _ in range(2):
+            got = stream_usage.roll_up_landed(spark, landing, first.schema, out, mark)
+    counted = spark.createDataFrame([*rows, *late], schema)
+    wanted = stream_usage.daily_usage(counted).where(F.col("day") <= (rows[-1][0] - timedelta(days=2)).date())
+    assert wanted.count() > 8
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def _landed(frame, path):
+    frame.coalesce(1).write.mode("append").parquet(path)
+    return path

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from valuary.operators.usage import SESSION_GAP_MINUTES
 
@@ -51,3 +52,18 @@ def write_daily_usage(log_stream: DataFrame, path: str, checkpoint: str, **trigg
     writer = daily_usage(log_stream).writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def roll_up_landed(
+    spark: SparkSession, landing: str, schema: StructType, path: str, checkpoint: str, **options: str
+) -> DataFrame:
+    """Roll up the log files that landed since the last call, and return all finished days so far.
+
+    The checkpoint holds which files were counted, the open days and the watermark, so a call that broke off is
+    taken up where it stood and no row counts twice. A row that comes later than the watermark allows is left out;
+    days that the watermark hasn't passed stay open. Without any finished day the result is empty.
+    """
+    log = spark.readStream.schema(schema).options(**options).parquet(landing)
+    write_daily_usage(log, path, checkpoint).awaitTermination()
+    finished = daily_usage(spark.createDataFrame([], schema)).schema
+    return spark.read.schema(finished).parquet(path)
