@@ -220,6 +220,39 @@ def test_near_duplicates_in_one_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_marks_never_claim_more_differences_than_there_are():
+    rng = random.Random(2)
+    for n in (1, 5, 140, 3_000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts = [base, base[1:] or base, [*base, "more"], [w if rng.random() > 0.1 else "x" for w in base], base[::-1]]
+        sets = [op4_minhash_dedup.shingles(" ".join(t), 4) for t in texts]
+        marks = op4_minhash_dedup.parity_marks(sets)
+        for x, mx in zip(sets, marks.tolist()):
+            for y, my in zip(sets, marks.tolist()):
+                apart = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(mx, my))
+                assert apart <= len(set(x.tolist()) ^ set(y.tolist())) and (apart > 0 or len(x) % 2 == len(y) % 2)
+
+
+def test_near_duplicates_around_missing_originals(spark):
+    """Copies of texts that aren't there: most pairs are just short of the limit, some reach it, in lists of many slices."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(100 + 7 * g)]
+        for i in range(90):
+            w = list(base)
+            for _ in range(rng.choice((1, 3, 3, 4, 4, 5))):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+            rows.append((1000 * g + i, " ".join(w[rng.randrange(3) :])))
+    label, _ = near_by_hand(rows, 4, 80)
+    before, op4_minhash_dedup.LIST = op4_minhash_dedup.LIST, 7
+    try:
+        got = op4_minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    finally:
+        op4_minhash_dedup.LIST = before
+    assert len(set(label.values())) > 2 and {r.doc_id: r.component_id for r in got} == label
+
+
 def test_near_duplicates_compare_every_text_of_a_doc_id(spark):
     """One doc_id with two unlike texts, the second one near another document, in any order of rows."""
     first, second = ([f"{x}{i}" for i in range(80)] for x in "ab")
