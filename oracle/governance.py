@@ -49,11 +49,11 @@ _MODELS = f"""(select run_id, ppe10, mdape, case when run_id = 'c1' then 'alert'
 @check(
     "d7_retrain_decision",
     f"""select run_id, 'retrain' as decision, true as should_retrain, cast(364 as int) as model_age_days,
-        array_to_string(list_filter([case when performance_status = 'alert' then 'performance monitor is alert' end,
-          case when ppe10 < 0.75e0 then printf('overall PPE10 below threshold (%.4f < 0.7500)', ppe10) end,
-          case when mdape > 0.08e0 then printf('overall MdAPE above threshold (%.4f > 0.0800)', mdape) end,
-          case when drift_alerts > 0 then concat('drift alerts exceed policy (', cast(drift_alerts as varchar), ' > 0)') end,
-          'model age exceeds threshold (364 > 90 days)'], lambda x: x is not null), '; ') as reasons from {_MODELS}""",
+        array_to_string(list_filter([case when performance_status = 'alert' then 'accuracy watch raised an alert' end,
+          case when ppe10 < 0.75e0 then printf('ppe10 is %.4f, wanted at least 0.7500', ppe10) end,
+          case when mdape > 0.08e0 then printf('mdape is %.4f, allowed up to 0.0800', mdape) end,
+          case when drift_alerts > 0 then concat(cast(drift_alerts as varchar), ' drift alerts, allowed up to 0') end,
+          'trained 364 days ago, allowed up to 90'], lambda x: x is not null), '; ') as reasons from {_MODELS}""",
 )
 def d7(spark, d):
     models = _run_metrics(spark, d).where("group_type = 'overall'").withColumns(

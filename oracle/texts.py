@@ -39,9 +39,9 @@ def t2(spark, d):
 
 @check(
     "t3_request_budget",
-    f"""select doc_id, tok <= il and cost <= 0.005e0 as within_budget, case when tok > il then concat('Prompt exceeds token limit: ', tok::varchar, ' > ', il::varchar)
-        when cost > 0.005e0 then printf('Estimated request cost $%.4f exceeds per-request limit $0.0050', cost)
-        else concat('OK (', tok::varchar, '/', il::varchar, printf(' tokens, est_cost=$%.4f, req_limit=$0.0050)', cost)) end as budget_reason
+    f"""select doc_id, tok <= il and cost <= 0.005e0 as within_budget, case when tok > il then concat(tok::varchar, ' input tokens, allowed up to ', il::varchar)
+        when cost > 0.005e0 then printf('request costs $%.4f, allowed up to $0.0050', cost)
+        else concat('fits: ', tok::varchar, ' of ', il::varchar, printf(' input tokens, costs $%.4f of $0.0050', cost)) end as budget_reason
         from (select *, tok / 1000e0 * ip + least(1200, ol) / 1000e0 * op as cost from {_LIMITS})""",
 )
 def t3(spark, d):

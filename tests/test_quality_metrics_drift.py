@@ -153,7 +153,7 @@ def test_performance_and_retraining(rows):
     )
     got = {r["m"]: r for r in monitor.retrain_decision(models, datetime(2025, 3, 1), {"max_model_age_days": 30}).collect()}
     assert got["bad"]["decision"] == "retrain" and len(got["bad"]["reasons"]) == 4
-    assert got["bad"]["reasons"][0] == "overall PPE10 below threshold (0.7000 < 0.7500)"
+    assert got["bad"]["reasons"][0] == "ppe10 is 0.7000, wanted at least 0.7500"
     assert (got["good"]["decision"], got["good"]["model_age_days"]) == ("hold", None)
 
 

@@ -18,8 +18,8 @@ def test_redaction_and_budget(rows):
     big = rows([("x" * 20000, "other"), ("x" * 40, "gpt-4o")], "text string, model string")
     budget = [r for r in text.add_request_budget(big).collect()]
     assert [r["within_budget"] for r in budget] == [False, True]
-    assert budget[0]["budget_reason"] == "Prompt exceeds token limit: 5000 > 4000"
-    assert budget[1]["budget_reason"].startswith("OK (10/128000 tokens, est_cost=$0.0120")
+    assert budget[0]["budget_reason"] == "5000 input tokens, allowed up to 4000"
+    assert budget[1]["budget_reason"].startswith("fits: 10 of 128000 input tokens, costs $0.0120 of")
 
 
 def test_truncation(rows):

@@ -45,22 +45,22 @@ def retrain_decision(models: DataFrame, as_of: datetime, limits: dict[str, float
     age = age.cast("int")
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("performance_status") == "alert", "performance monitor is alert"),
+            F.when(F.col("performance_status") == "alert", "accuracy watch raised an alert"),
             F.when(
                 F.col("ppe10") < limits["min_ppe10"],
-                F.format_string(f"overall PPE10 below threshold (%s < {limits['min_ppe10']:.4f})", fixed4(F.col("ppe10"))),
+                F.format_string(f"ppe10 is %s, wanted at least {limits['min_ppe10']:.4f}", fixed4(F.col("ppe10"))),
             ),
             F.when(
                 F.col("mdape") > limits["max_mdape"],
-                F.format_string(f"overall MdAPE above threshold (%s > {limits['max_mdape']:.4f})", fixed4(F.col("mdape"))),
+                F.format_string(f"mdape is %s, allowed up to {limits['max_mdape']:.4f}", fixed4(F.col("mdape"))),
             ),
             F.when(
                 alerts > limits["max_drift_alerts"],
-                F.format_string(f"drift alerts exceed policy (%d > {limits['max_drift_alerts']})", alerts),
+                F.format_string(f"%d drift alerts, allowed up to {limits['max_drift_alerts']}", alerts),
             ),
             F.when(
                 age > limits["max_model_age_days"],
-                F.format_string(f"model age exceeds threshold (%d > {limits['max_model_age_days']} days)", age),
+                F.format_string(f"trained %d days ago, allowed up to {limits['max_model_age_days']}", age),
             ),
         )
     )
