@@ -83,21 +83,27 @@ h as (
     list_append(common, n_words - list_sum(common)) as wc
   from c
 ),
-r as (
-  select lang, {", ".join(f"sum(chars[{i}]) as c{i}" for i in range(1, 7))}, {", ".join(f"sum(wc[{i}]) as w{i}" for i in range(1, len(common) + 2))}
+u as (
+  select lang, count(*) as docs, {", ".join(f"sum(chars[{i}]) as c{i}" for i in range(1, 7))}, {", ".join(f"sum(wc[{i}]) as w{i}" for i in range(1, len(common) + 2))}
   from h where not base_failed and n_words >= {rules.min_divergence_words}
     and 100 * n_symbols <= {rules.max_reference_symbol_pct} * word_chars
-  group by lang having count(*) >= {rules.min_reference_docs}
+  group by lang
+),
+r as (
+  select lang, [{", ".join(f"c{i}" for i in range(1, 7))}] as rc, [{", ".join(f"w{i}" for i in range(1, len(common) + 2))}] as rw
+  from u where docs >= {rules.min_reference_docs}
 ),
+a as (select [{", ".join(f"sum(c{i})" for i in range(1, 7))}] as ac from u),
+k as (select h.*, coalesce(rc, ac) as rc, rw from h left join r on h.lang = r.lang cross join a),
+z as (select *, {share.format(c="chars")} as p, {share.format(c="wc")} as wp, {share.format(c="rc")} as q, {share.format(c="rw")} as wq from k),
 j as (
-  select h.*, {share.format(c="chars")} as p, {share.format(c="wc")} as wp,
-    {share.format(c="[" + ", ".join(f"c{i}" for i in range(1, 7)) + "]")} as q,
-    {share.format(c="[" + ", ".join(f"w{i}" for i in range(1, len(common) + 2)) + "]")} as wq
-  from h left join r on h.lang = r.lang
+  select *, n_words * (1 - wq[{len(common) + 1}]) >= {rules.min_expected_words} as long_enough,
+    {js.format(p="wp", q="wq")} > {rules.max_word_share} * {js.format(p="[" + "0.0, " * len(common) + "1.0]", q="wq")} as strange
+  from z
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (n_words >= {rules.min_divergence_words} and q[1] is not null and (
-    {js.format(p="p", q="q")} > {rules.max_char_distance} or {js.format(p="wp", q="wq")} > {rules.max_word_distance})) as kept
+  not base_failed and not (n_words >= {rules.min_divergence_words} and (
+    coalesce(q[1] is not null and {js.format(p="p", q="q")} > {rules.max_char_distance}, false) or coalesce(long_enough and strange, false))) as kept
 from j
 """
 
