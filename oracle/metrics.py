@@ -221,7 +221,7 @@ def _sides(spark, d):
 @check("d1_psi", f"{_VALS}, {_PSI} select feature, round(psi, 6) as psi from psi")
 def d1(spark, d):
     ref, cur = _sides(spark, d)
-    out = drift.numeric_drift(drift.long_features(ref, _WATCHED), drift.long_features(cur, _WATCHED), ["feature"])
+    out = drift.stability_index(drift.long_features(ref, _WATCHED), drift.long_features(cur, _WATCHED), ["feature"])
     return out.select("feature", F.round("psi", 6).alias("psi"))
 
 

@@ -1,11 +1,21 @@
 """Order statistics and KS against brute force, with many ties, one hot group and tiny cells."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from valuary.operators.ordered import boundary_rows, cumulative_counts, group_quantiles, ks_distance, order_statistics
+from valuary.operators.ordered import (
+    boundary_rows,
+    counted_values,
+    cumulative_counts,
+    group_quantiles,
+    ks_distance,
+    order_statistics,
+    ranged_counts,
+)
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +113,32 @@ def test_cumulative_counts(table):
     part = frame[frame["g"] == "hot"].dropna()
     for v in part["v"].unique():
         assert got[("hot", v)] == (part["v"] <= v).sum()
+
+
+def test_counted_values_stand_for_their_rows(spark):
+    """Quantiles and KS from counts equal those from rows; null, NaN and hot values included."""
+    rng = random.Random(8)
+    rows = [(g, rng.choice([None, float("nan"), 5.0, 5.0, 5.0, rng.gauss(0, 9)])) for g in ["a", "b", None] for _ in range(400)]
+    one, other = (spark.createDataFrame(part, "g string, v double") for part in (rows[::2], rows[1::2]))
+    counts = [counted_values(df, ["g"]) for df in (one, other)]
+    assert counts[0].agg(F.sum("n")).first()[0] == sum(v is not None and v == v for _, v in rows[::2])
+    levels = {"lo": 0.1, "mid": 0.5, "hi": 0.93}
+    for cell_rows in (3, 500_000):
+        assert sorted(map(tuple, group_quantiles(counts[0], ["g"], "v", levels, max_cell_rows=cell_rows, weight="n").collect()), key=str) == sorted(
+            map(tuple, group_quantiles(one, ["g"], "v", levels, max_cell_rows=cell_rows).collect()), key=str
+        )
+        known = [df.where("g is not null") for df in (*counts, one, other)]
+        by_counts = ks_distance(known[0], known[1], ["g"], max_cell_rows=cell_rows, weight="n").collect()
+        assert sorted(map(tuple, by_counts)) == sorted(map(tuple, ks_distance(known[2], known[3], ["g"], max_cell_rows=cell_rows).collect()))
+
+
+def test_prefix_sums_of_values_close_together_are_spread(spark):
+    """Thousands of values in one logarithmic cell are dealt over all ranges; totals are exact across ranges."""
+    rows = [("hot", 1000 + i * 1e-6) for i in range(4000)] + [("hot", 1000.0)] * 2000 + [(None, 1.0), (None, None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    sizes = [r["count"] for r in ranged_counts(df, ["g"], "v", parts=8).groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 4001 / 8
+    got = {(r["g"], r["value"]): (r["n"], r["through"], r["total"]) for r in cumulative_counts(df, ["g"], "v", parts=8).collect()}
+    assert len(got) == 4001 and got[(None, 1.0)] == (1, 1, 1)
+    assert all(got[("hot", 1000 + i * 1e-6)] == (2001 if i == 0 else 1, 2001 + i, 6000) for i in range(4000))
+    assert cumulative_counts(df.where("false"), ["g"], "v").collect() == []

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valuary.session import MAX_LOOKUP_ROWS, broadcast_if_small, materialise
+from valuary.session import MAX_LOOKUP_ROWS, broadcast_if_small, materialise, stage_table
 
 LOG_CELLS = 1024  # first cut: cells per e-fold of 1 + |value|
 SPLIT_CELLS = 4096  # later cuts: equal-width cells inside an opened cell
@@ -34,16 +34,31 @@ def _inner_cell(v: Column, lo: Column, hi: Column) -> Column:
     return F.floor((v - lo) / (hi - lo) * SPLIT_CELLS)
 
 
-def _values(df: DataFrame, keys: Sequence[str], v: Column, counts: dict[str, int]) -> DataFrame:
-    """Keys, the value as `v` with NaN as null, and constant counts per row.
+def _values(df: DataFrame, keys: Sequence[str], v: Column, counts: dict[str, int | Column]) -> DataFrame:
+    """Keys, the value as `v` with NaN as null, and counts: constants per row, or the weight of a counted row.
 
     Null values are not filtered here: the optimizer would copy the whole value expression into a
     filter at the scan. They meet in a cell of their own, which `_cells` drops.
     """
-    rows = df.select(*keys, v.alias("v"))
+    counted = [(F.lit(n) if isinstance(n, int) else n).cast("long").alias(c) for c, n in counts.items()]
+    rows = df.select(*keys, v.alias("v"), *counted)
     if isinstance(rows.schema["v"].dataType, (T.DoubleType, T.FloatType)):
         rows = rows.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    return rows.withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
+    return rows
+
+
+def counted_values(df: DataFrame, keys: Sequence[str], value: Column | str = "v") -> DataFrame:
+    """Keys, distinct value `v` and its number of rows `n`; null and NaN are left out.
+
+    Map tasks count before the shuffle. Staged, it serves every later pass over the same values by `weight`.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    counts = _values(df, keys, v, {"n": 1}).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    return counts.where("v is not null")
+
+
+def _weight(weight: str | None) -> int | Column:
+    return 1 if weight is None else F.col(weight)
 
 
 def _cells(rows: DataFrame, by: Sequence[Column | str], cell: Column, counts: Sequence[str]) -> DataFrame:
@@ -82,6 +97,7 @@ def order_statistics(
     ranks: Callable[[Column], Sequence[Column]],
     max_cell_rows: int = MAX_CELL_ROWS,
     few_values: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Values at given 0-based ranks of each group of `keys` (at least one key).
 
@@ -90,11 +106,12 @@ def order_statistics(
     value), `ties` (rows with this value) and `n`. Null and NaN values are left out.
 
     `few_values` promises that a group has a bounded number of distinct values (calendar days, or no
-    more rows than a cell may have): they are then listed in the first pass.
+    more rows than a cell may have): they are then listed in the first pass. `weight` names the number of rows
+    that a row of a table from `counted_values` stands for.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    rows = _values(df, keys, v, {"n": 1})
+    rows = _values(df, keys, v, {"n": _weight(weight)})
 
     def wanted(total: Column) -> Column:
         return F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("r")) for i, r in enumerate(ranks(total))])
@@ -155,13 +172,16 @@ def group_quantiles(
     quantiles: dict[str, float],
     approx: bool = False,
     max_cell_rows: int = MAX_CELL_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: keys, one column per entry of `quantiles`, and `n`.
 
-    `approx=True` trades exactness for one pass with a bounded sketch.
+    `approx=True` trades exactness for one pass with a bounded sketch; it takes no `weight`.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
+    if approx and weight is not None:
+        raise ValueError("the sketch takes rows, not counted values")
     if approx:
         sketch = _values(df, keys, v, {}).groupBy(*keys).agg(
             *[F.percentile_approx("v", q, 10_000).cast("double").alias(a) for a, q in quantiles.items()],
@@ -173,7 +193,7 @@ def group_quantiles(
         at = [F.lit(float(q)) * (n - 1) for q in quantiles.values()]
         return [edge for p in at for edge in (F.floor(p), F.ceil(p))]
 
-    stats = order_statistics(df, keys, v, ranks, max_cell_rows)
+    stats = order_statistics(df, keys, v, ranks, max_cell_rows, weight=weight)
     wide = stats.groupBy(*keys).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("i") == i, F.col("value").cast("double"))).alias(f"_{i}") for i in range(2 * len(quantiles))],
@@ -235,23 +255,35 @@ def at_or_before(first: Column, second: Column, border_first: Column, border_sec
     )
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
+def ranged_counts(df: DataFrame, keys: Sequence[str], value: Column | str, parts: int | None = None) -> DataFrame:
+    """`counted_values` dealt out by ranges of (keys, v), written down with the number `part` of each row's range.
+
+    Ranges hold about equally many distinct values, so neither a large group nor values that lie close together
+    meet in one task; `parts` sets their number instead of the session's shuffle partitions.
+    """
+    counts = counted_values(df, keys, value)
+    by = [F.col(k) for k in keys] + [F.col("v")]
+    dealt = counts.repartitionByRange(parts, *by) if parts else counts.repartitionByRange(*by)
+    return stage_table(dealt.withColumn("part", F.spark_partition_id()), "ranged-counts")
+
+
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column | str, parts: int | None = None) -> DataFrame:
     """Rows at or below each distinct value of a group: keys, value, n, through, total.
 
-    Running totals are taken inside a cell and start from the totals of the cells before it.
+    A prefix sum in two levels: running totals inside a range start from the totals of the group's ranges before it.
+    Null and NaN values are left out; null keys are a group of their own; an empty table gives an empty result.
     """
     keys = list(keys)
-    v = F.col(value) if isinstance(value, str) else value
-    rows = _values(df, keys, v, {"n": 1})
-    counts = rows.groupBy(*keys, first_cell(F.col("v")).alias("cell"), "v").agg(F.sum("n").alias("n"))
-    counts = counts.where("v is not null")
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
-    cells = _with_before(cells, keys, ["n"]).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    bases = materialise(cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("cell").alias("_cell"), "n_before", "total"))
-    same = [counts[k].eqNullSafe(bases[f"_{k}"]) for k in keys] + [counts["cell"] == bases["_cell"]]
+    counts = ranged_counts(df, keys, value, parts)
+    # At most one row per group and range, and a group's ranges lie side by side.
+    ranges = counts.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({"before": F.coalesce(F.sum("n").over(along), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(*keys))})
+    bases = materialise(ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), "before", "total"))
+    same = [counts[k].eqNullSafe(bases[f"_{k}"]) for k in keys] + [counts["part"] == bases["_part"]]
     joined = counts.join(broadcast_if_small(bases), reduce(lambda a, b: a & b, same))
-    running = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    through = F.col("n_before") + F.sum("n").over(running)
+    running = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    through = F.col("before") + F.sum("n").over(running)
     return joined.select(*keys, F.col("v").alias("value"), "n", through.alias("through"), "total")
 
 
@@ -262,20 +294,22 @@ def ks_distance(
     reference_keys: Sequence[str] | None = None,
     value: str = "v",
     max_cell_rows: int = MAX_CELL_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact two-sample KS statistic per group: keys, reference_n, current_n, ks.
 
     `reference_keys` may be a subset of `keys` when one reference serves several current groups. Both
     cumulative shares are known exactly at cell borders; inside a cell their gap cannot exceed the
-    wider of its two crossed borders, so only cells whose bound beats the best border are opened.
+    wider of its two crossed borders, so only cells whose bound beats the best border are opened. With `weight`
+    both tables are counted (`counted_values`), so a reference meets its current groups by distinct value, not by row.
     """
     keys = list(keys)
     reference_keys = list(reference_keys or keys)
     counts = ["ref", "cur"]
 
     sides = [
-        (_values(reference, reference_keys, F.col(value), {"ref": 1, "cur": 0}), reference_keys),
-        (_values(current, keys, F.col(value), {"ref": 0, "cur": 1}), keys),
+        (_values(reference, reference_keys, F.col(value), {"ref": _weight(weight), "cur": 0}), reference_keys),
+        (_values(current, keys, F.col(value), {"ref": 0, "cur": _weight(weight)}), keys),
     ]
     cur_cells = _cells(sides[1][0], keys, first_cell(F.col("v")), counts)
     ref_cells = _cells(sides[0][0], reference_keys, first_cell(F.col("v")), counts)
