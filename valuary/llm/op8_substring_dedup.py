@@ -66,18 +66,22 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _hashes(words: Iterable[bytes], n: int, seed: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, n)
+def _hashes(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: the halves of one 128-bit hash."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
 
 def _first_of_equal(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in order of doc: the rows sorted by hash, and for each of them the smallest doc of its equals."""
-    order = np.argsort(h1, kind="stable")
+    """The rows sorted by hash, and for each of them the smallest doc of its equals."""
+    order = np.argsort(h1)
     a, b = h1[order], h2[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     heads = np.flatnonzero(new)
-    return order, np.repeat(doc[order[heads]], np.diff(np.append(heads, len(order))))
+    if not len(heads):
+        return order, doc[order]
+    return order, np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(order))))
 
 
 def _starts_to_spans(starts: np.ndarray) -> bytes:
@@ -137,7 +141,7 @@ def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             if len(codes) < window:
                 continue
             words = list(vocabulary)
-            h1, h2 = (_hashes(words, len(words), seed)[codes] for seed in (0, 1))
+            h1, h2 = (h[codes] for h in _hashes(words))
             first = np.cumsum(lengths) - lengths
             of = np.repeat(np.arange(len(coded)), lengths)
             begin = np.flatnonzero(np.arange(len(codes)) + window <= (first + lengths)[of])
@@ -181,7 +185,7 @@ def _windows(blobs: list[bytes], window: int, part: int, parts: int) -> list[np.
     press, found = zstandard.ZstdDecompressor(), []
     for blob in blobs:
         doc, key, start, n, codes, words = unpack(blob, press)
-        h1, h2 = (_hashes(words, len(words), seed)[codes] for seed in (0, 1))
+        h1, h2 = (h[codes] for h in _hashes(words))
         lengths = n + window - 1
         first = np.cumsum(lengths) - lengths
         begin = gather(np.arange(len(codes)), first, n)
@@ -203,8 +207,6 @@ def repeated_windows(dealt: DataFrame, window: int) -> DataFrame:
         parts = -(-size // SLICE)
         for part in range(parts):
             w1, w2, doc, key, start = _windows(blobs, window, part, parts)
-            by_doc = np.argsort(doc, kind="stable")
-            w1, w2, doc, key, start = (x[by_doc] for x in (w1, w2, doc, key, start))
             order, owner = _first_of_equal(w1, w2, doc)
             hit = order[doc[order] > owner]
             out = [*_removal_rows(doc[hit], key[hit], start[hit])]
