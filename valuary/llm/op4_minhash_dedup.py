@@ -38,12 +38,13 @@ from valuary.llm import sql
 from valuary.llm.components import connected_components
 from valuary.llm.registry import query, table
 from valuary.llm.words import chunks
-from valuary.session import broadcast_if_small, materialise, stage_table
+from valuary.session import broadcast_if_small, drop_folder, materialise, scratch_path, stage_table
 
 BANDS, ROWS = 32, 4
 CIRCLE = 1 << 20
 SEED = 20240607
 MARKS = 8  # words of 64 places
+KEPT_WORDS = 100_000  # hashes of words that a worker keeps
 LIST = 512  # rows of a list of shingle holders in one slice
 PAIR = ("a", "a_part", "b", "b_part")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +55,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept for the worker and emptied when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -106,11 +107,15 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
 def parity_marks(sets: list[np.ndarray]) -> np.ndarray:
     """One row of MARKS words per set: in each of 64 * MARKS places, the parity of the number of its shingles there."""
     places = 64 * MARKS
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    place = (flat >> np.uint64(32)).astype(np.int64) % places
-    odd = np.bincount(owner * places + place, minlength=len(sets) * places) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), MARKS)
+    out = []
+    # Some sets at a time: short texts are many, and the counts take 4 KB a set.
+    for start in range(0, len(sets), 2048):
+        some = sets[start : start + 2048]
+        owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        place = (np.concatenate(some) >> np.uint64(32)).astype(np.int64) % places
+        odd = np.bincount(owner * places + place, minlength=len(some) * places) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(some), MARKS))
+    return np.concatenate(out)
 
 
 def can_reach(x: str, y: str, percent: int) -> tuple[Column, Column]:
@@ -122,7 +127,7 @@ def can_reach(x: str, y: str, percent: int) -> tuple[Column, Column]:
     return apart, sizes & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, folder: str | None = None) -> DataFrame:
     """Staged per row: doc_id, part (hash of the text), n_shingles, the set's fingerprint (null if empty), its band hashes
     and marks."""
     schema = pa.schema(
@@ -156,7 +161,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
     columns = "doc_id long, part long, n_shingles long, print binary, bands array<long>, marks array<long>"
-    return stage_table(ids.mapInArrow(run, columns), "signatures")
+    return stage_table(ids.mapInArrow(run, columns), "signatures", folder)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -182,7 +187,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "a_part", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def close_pairs(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+def close_pairs(texts: DataFrame, sets: DataFrame, size: int, percent: int, folder: str | None = None) -> DataFrame:
     """Pairs (a, a_part, b, b_part, apart) of `sets` (node, part, n, marks, component; `texts` holds the text of each), from
     different components, that can reach the similarity: no other pair of different components does."""
 
@@ -196,7 +201,7 @@ def close_pairs(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> D
                 )
 
     texts = texts.join(sets.select("node", "part"), ["node", "part"], "left_semi").select("node", "part", "text")
-    each = stage_table(texts.mapInArrow(run, "node long, part long, shingle long"), "open-shingles")
+    each = stage_table(texts.mapInArrow(run, "node long, part long, shingle long"), "open-shingles", folder)
     shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ordered = each.join(shared, "shingle").groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     # Shingles that stand nowhere else are the rarest: they take the first places, and need no list.
@@ -205,7 +210,7 @@ def close_pairs(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     held = ordered.where(head > 0).select(
         "node", "part", "n", "marks", "component", "alone", F.posexplode(F.slice("shared", F.lit(1), head.cast("int"))).alias("i", "s")
     )
-    held = stage_table(held.select("node", "part", "n", "marks", "component", (F.col("alone") + F.col("i")).alias("place"), "s.shingle"), "heads")
+    held = stage_table(held.select("node", "part", "n", "marks", "component", (F.col("alone") + F.col("i")).alias("place"), "s.shingle"), "heads", folder)
     lists = held.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     lists = lists.where("low < high").select("shingle", F.ceil(F.col("held") / LIST).cast("int").alias("slices"))
     held = materialise(held.join(lists, "shingle"))
@@ -220,9 +225,11 @@ def close_pairs(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     return pairs.select(F.col("a_node").alias("a"), "a_part", F.col("b_node").alias("b"), "b_part", apart.alias("apart")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of `docs` (doc_id, text): n_shingles, component_id and kept."""
-    rows = signatures(docs, size)
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
+    """Per row of `docs` (doc_id, text): n_shingles, component_id and kept.
+
+    With a `folder` all staged tables lie in it; the result reads one of them."""
+    rows = signatures(docs, size, folder)
     usable = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(
         usable.groupBy("print").agg(
@@ -237,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # Members of buckets: one row per class and band, only where a bucket has two classes or more.
     members = classes.select("node", "part", "n", F.posexplode("bands").alias("band", "hash"))
     buckets = members.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = stage_table(members.join(buckets, ["band", "hash"]).select("band", "hash", "node", "part", "n", "hub", "size"), "buckets")
+    members = stage_table(members.join(buckets, ["band", "hash"]).select("band", "hash", "node", "part", "n", "hub", "size"), "buckets", folder)
     # The hub is the smallest part of the smallest node; its other parts are linked to it anyway, as one doc_id.
     hubs = members.where("node = hub").groupBy("band", "hash").agg(F.min("part").alias("a_part"))
     star = members.where("node != hub").join(hubs, ["band", "hash"])
@@ -251,13 +258,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("part"), "text")
     texts = texts.join(broadcast_if_small(materialise(active), 1_000_000), ["node", "part"])
     texts = texts.where("copies = 1").union(texts.where("copies > 1").dropDuplicates(["node", "part"])).drop("copies")
-    texts = stage_table(texts, "bucket-texts")
+    texts = stage_table(texts, "bucket-texts", folder)
 
     # Copies of a set belong to its class; so do all sets of one doc_id.
     same = classes.select("print", "node")
     own = usable.join(same, "print").where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     links = materialise(verify(star, texts, size, percent).union(own.distinct()))
-    components = _settle(members.where("size > 2"), classes, links, star, texts, size, percent)
+    components = _settle(members.where("size > 2"), classes, links, star, texts, size, percent, folder)
     found = rows.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
     return found.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
@@ -265,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def _settle(
-    members: DataFrame, classes: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int
+    members: DataFrame, classes: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int, folder: str | None
 ) -> DataFrame:
     """Components of the links and of those that hubs could not show: between members of one bucket."""
     components = connected_components(links)
@@ -276,7 +283,7 @@ def _settle(
     open_ = materialise(open_.join(classes.select("node", "part", "n", "marks"), ["node", "part"]))
     if open_.isEmpty():
         return components
-    pairs = materialise(close_pairs(texts, open_, size, percent).join(tried, list(PAIR), "left_anti"))
+    pairs = materialise(close_pairs(texts, open_, size, percent, folder).join(tried, list(PAIR), "left_anti"))
     # Most pairs lie between the same few components: the nearest one of a document in each other component goes first.
     of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     named = pairs.join(of("b"), "b", "left").withColumn("b_component", F.coalesce("b_component", "b"))
@@ -296,8 +303,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Of the rows of a doc_id that stays, the smallest one stays: by text (null last), then by the other columns in
     their order, which must be of types that have one (no maps).
     """
-    judged = near_duplicates(docs, size, percent)
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "near-duplicates")
+    judged = near_duplicates(docs, size, percent, folder)
     gone = materialise(judged.where(~F.col("kept")).select("doc_id").distinct())
+    # The ids stand by themselves now: texts and signatures that were staged for them needn't stay as long as the result.
+    drop_folder(spark, folder)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(F.col("text").isNull().alias("_no_text"), "text", *rest)
     unique = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.*")
