@@ -21,6 +21,21 @@ def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_coordinates_by_hash_and_only_for_rows_that_lack_them(rows):
+    schema = "id int, bbl long, latitude double, longitude double"
+    df = rows([(1, 7, 40.0, -73.0), (2, 7, None, None), (3, 8, None, -70.0), (4, None, None, 1.0), (5, 9, 41.0, None), (6, 6, None, 2.0)], schema)
+    side = rows(
+        [(7, 40.6, -73.5), (7, 40.5, -73.1), (7, 40.5, -73.2), (8, 40.5, None), (8, 40.5, -9.0), (9, 42.0, -71.0), (None, 1.0, 1.0)],
+        "bbl long, latitude double, longitude double",
+    )
+    out = readers.attach_coordinates(df, side)
+    assert out.columns == ["bbl", "id", "latitude", "longitude"]
+    assert {r["id"]: (r["latitude"], r["longitude"]) for r in out.collect()} == {
+        1: (40.0, -73.0), 2: (40.5, -73.2), 3: (40.5, -70.0), 4: (None, 1.0), 5: (41.0, -71.0), 6: (None, 2.0)
+    }
+    assert "Union" in _optimized(out) and "SortAggregate" not in _plan(out)
+
+
 def test_near_duplicates_leave_no_staged_tables_behind(spark, rows):
     from valuary.llm import op4_minhash_dedup as op4
     from valuary.session import shared_dir

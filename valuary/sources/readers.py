@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from valuary.functions.parse import day_of, number_of
 from valuary.schemas import LATEST_SALES_COLUMNS, TRAINING_COLUMNS
-from valuary.session import lookup_join, materialise
+from valuary.session import broadcast_if_small, lookup_join, materialise
 
 SOURCE_NAMES = ("csv", "parquet", "yearly_csv", "jdbc")
 
@@ -100,15 +100,24 @@ def coordinates_table(df: DataFrame) -> DataFrame:
 
 
 def attach_coordinates(df: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """Fill missing coordinates by parcel id; `coordinates` may list a parcel more than once."""
-    side = coordinates.groupBy("bbl").agg(F.min(F.struct("latitude", "longitude")).alias("_at"))
-    out = lookup_join(df, side, ["bbl"])
-    return out.withColumns(
-        {
-            "latitude": F.coalesce("latitude", "_at.latitude"),
-            "longitude": F.coalesce("longitude", "_at.longitude"),
-        }
-    ).drop("_at")
+    """Fill missing coordinates by parcel id; `coordinates` may list a parcel more than once.
+
+    Of several coordinates the smallest counts: by latitude, then longitude (null first). Only rows that lack a
+    coordinate meet the table, and only parcels of such rows are settled; all other rows stay where they are.
+    """
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    lacking = df.where(~known)
+    wanted = lacking.where(F.col("bbl").isNotNull()).select("bbl").distinct()
+    side = coordinates.join(broadcast_if_small(materialise(wanted)), "bbl", "left_semi")
+    # Plain numbers are aggregated by hash, where a minimum of pairs would sort all rows.
+    side = side.groupBy("bbl", "latitude").agg(F.min("longitude").alias("_longitude"), F.count_if(F.col("longitude").isNull()).alias("_none"))
+    side = side.withColumn("_longitude", F.when(F.col("_none") == 0, F.col("_longitude"))).groupBy("bbl")
+    side = side.agg(F.min("latitude").alias("_latitude"), F.min_by("_longitude", "latitude").alias("_longitude"))
+    filled = lookup_join(lacking, side, ["bbl"]).withColumns(
+        {"latitude": F.coalesce("latitude", "_latitude"), "longitude": F.coalesce("longitude", "_longitude")}
+    )
+    filled = filled.drop("_latitude", "_longitude")
+    return df.where(known).select(filled.columns).union(filled)
 
 
 def jdbc_options(
