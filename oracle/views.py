@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from valuary.operators.clean import clean_sales
 from valuary.operators.features import engineer_features
-from valuary.operators.identity import add_property_id, add_sales_history, deduplicate_sales
-from valuary.operators.skew import hot_keys
+from valuary.operators.identity import add_property_id, deduplicate_sales, resale_history
 from valuary.operators.tiers import assign_segments
 from valuary.session import scratch_path, spread
 
@@ -106,9 +105,7 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identified(spark, sf_dir)
-    hot = hot_keys(rows, ["property_id"])
-    return add_sales_history(deduplicate_sales(rows), order="row_order", hot=hot)
+    return resale_history(identified(spark, sf_dir))
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:

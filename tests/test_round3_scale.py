@@ -36,6 +36,44 @@ def test_coordinates_by_hash_and_only_for_rows_that_lack_them(rows):
     assert "Union" in _optimized(out) and "SortAggregate" not in _plan(out)
 
 
+SALES = [
+    # property, day, price, row_order: two copies, a resale, equal days
+    ("1", date(2020, 1, 1), 50000.0, 3),
+    ("1", date(2020, 1, 1), 50000.0, 1),
+    ("1", date(2021, 1, 1), 60000.0, 2),
+    ("1", date(2021, 1, 1), 55000.0, 9),
+    ("2_A", date(2019, 5, 5), 20000.0, 4),
+]
+
+
+def test_resale_history_shuffles_rows_once(rows):
+    df = rows(SALES, "property_id string, sale_date date, sale_price double, row_order long").withColumn("bbl", F.substring("property_id", 1, 1).cast("long"))
+    got = identity.resale_history(df)
+    assert _plan(got).count("Exchange hashpartitioning(property_id") == 1
+    assert "sale_date" not in "".join(x for x in _plan(got).splitlines() if "Exchange" in x)
+    plain = identity.add_sales_history(identity.deduplicate_sales(df), order="row_order")
+    assert got.columns == plain.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() == 4
+
+
+def test_resale_history_of_outsized_parcels(rows, monkeypatch):
+    monkeypatch.setattr(identity, "hot_keys", lambda df, keys, *_: df.groupBy(*keys).count().where("count > 2").select(*keys))
+    df = rows(SALES, "property_id string, sale_date date, sale_price double, row_order long").withColumn("bbl", F.substring("property_id", 1, 1).cast("long"))
+    got = {(r["property_id"], r["row_order"]): (r["sale_sequence"], r["is_latest_sale"]) for r in identity.resale_history(df).collect()}
+    assert got == {("1", 1): (1, False), ("1", 9): (2, True), ("1", 2): (3, True), ("2_A", 4): (1, True)}
+
+
+def test_a_unit_is_worked_out_once(rows):
+    df = rows([(" apt  3b ",), ("STREET",), ("nan",), ("APT",), ("#PH-2!",), ("Unit St",), ("NANA",), ("x y",), (None,)], "u string")
+    out = df.select("u", unit_token(F.col("u"), False).alias("t"), unit_token(F.col("u"), True).alias("s"))
+    got = {r["u"]: (r["t"], r["s"]) for r in out.collect()}
+    assert got == {
+        " apt  3b ": ("3B", "3B"), "STREET": (None, None), "nan": (None, None), "APT": (None, None), "#PH-2!": ("PH-2", "PH-2"),
+        "Unit St": (None, None), "NANA": ("NANA", None), "x y": ("XY", None), None: (None, None),
+    }
+    assert _optimized(df.select(F.coalesce(F.lit(None), unit_token(F.col("u"), False)).alias("t"))).count("upper(") == 1
+
+
 def test_near_duplicates_leave_no_staged_tables_behind(spark, rows):
     from valuary.llm import op4_minhash_dedup as op4
     from valuary.session import shared_dir

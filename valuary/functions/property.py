@@ -49,8 +49,9 @@ def segment(category: Column) -> Column:
     return F.coalesce(lookup(SEGMENT_BY_PREFIX, category_prefix(category)), F.lit("OTHER"))
 
 
-# An absent-value word standing alone, or a unit marker in front, is dropped; the rest must not be a street word.
-_MARKER = r"^(?:(?:NAN|NONE|NULL)$|(?:APT|APARTMENT|UNIT)\s*)"
+# An absent-value word standing alone, a unit marker in front, and what no unit holds are dropped; the rest must not be a
+# street word.
+_NO_UNIT = r"^(?:(?:NAN|NONE|NULL)$|(?:APT|APARTMENT|UNIT)\s*)|[^A-Z0-9\-]"
 _UNIT = rf"^(?!(?:{'|'.join(STREET_WORDS)})$).+$"
 _STRICT_UNIT = rf"^(?!(?:{'|'.join(STREET_WORDS)})$)(?:PH.*|.*\d.*)$"
 
@@ -60,9 +61,10 @@ def unit_token(c: Column, strict: bool) -> Column:
 
     `strict` also demands a digit or a PH prefix, for units guessed from an address.
     """
-    bare = F.regexp_replace(F.upper(strip(c)), _MARKER, "")
-    token = F.regexp_replace(bare, r"[^A-Z0-9\-]", "")
-    return F.nullif(F.regexp_extract(token, _STRICT_UNIT if strict else _UNIT, 0), F.lit(""))
+    token = F.regexp_replace(F.upper(strip(c)), _NO_UNIT, "")
+    # The first of all matches is null where there is none; `nullif` would write out and work the whole chain twice.
+    matches = F.regexp_extract_all(token, F.lit(_STRICT_UNIT if strict else _UNIT), F.lit(0))
+    return F.try_element_at(matches, F.lit(1))
 
 
 def unit_from_address(address: Column) -> Column:

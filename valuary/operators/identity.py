@@ -28,7 +28,8 @@ def add_property_id(df: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     listed = unit_token(F.col("apartment_number"), strict=False) if "apartment_number" in df.columns else none
     parsed = unit_from_address(F.col("address")) if "address" in df.columns else none
-    df = df.withColumns({"_listed": listed, "_parsed": parsed})
+    # An address is taken apart only where no unit is listed.
+    df = df.withColumn("_listed", listed).withColumn("_parsed", F.when(F.col("_listed").isNull(), parsed))
     source = F.when(F.col("_listed").isNotNull(), "apartment_number").when(
         F.col("_parsed").isNotNull(), "address_suffix"
     )
@@ -56,6 +57,22 @@ def deduplicate_sales(df: DataFrame, order: str = "row_order") -> DataFrame:
     return keep_first(df, SALE_KEY, [order])
 
 
+def resale_history(identified: DataFrame, order: str = "row_order") -> DataFrame:
+    """Sales without duplicates and with their history, from rows with a property id that begins with the parcel `bbl`.
+
+    A property has no more rows than its parcel, so without an outsized parcel, which is counted on plain numbers,
+    there is no outsized property: all rows then travel once, to their property, where duplicates and history are
+    settled in one order. Otherwise duplicates go inside the map tasks first, and outsized properties are windowed
+    in steps.
+    """
+    keys = ["property_id"]
+    if materialise(hot_keys(identified, ["bbl"])).isEmpty():
+        none = identified.sparkSession.createDataFrame([], identified.select(*keys).schema)
+        return add_sales_history(deduplicate_sales(identified.repartition(*keys), order), order=order, hot=none)
+    # Counted before the duplicates go, which costs one narrow scan instead of a second duplicate removal.
+    return add_sales_history(deduplicate_sales(identified, order), order=order, hot=hot_keys(identified, keys))
+
+
 def duplicate_metrics(df: DataFrame) -> DataFrame:
     """One row: key groups that repeat, and those among them with more than one address."""
     address = F.upper(strip(F.coalesce(F.col("address"), F.lit(""))))

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from valuary.operators import contracts
 from valuary.operators.clean import clean_sales, to_canonical
 from valuary.operators.features import engineer_features
-from valuary.operators.identity import add_property_id, add_sales_history, deduplicate_sales
+from valuary.operators.identity import add_property_id, resale_history
 from valuary.operators.impute import impute_missing_values
 from valuary.operators.journal import RunJournal
-from valuary.operators.skew import hot_keys
 from valuary.operators.tiers import assign_price_tiers, assign_proxy_tiers, assign_segments
 from valuary.schemas import SALES_SCHEMA
 from valuary.session import stage_table
@@ -51,16 +50,11 @@ class EtlError(contracts.ContractError):
 def enrich(cleaned: DataFrame, min_segment_rows: int = 800, cell_size: float = 0.01, as_of_year: int = 2025) -> DataFrame:
     """Identity, duplicate removal, history, segments, tiers, imputation, features and tier proxy of clean sales.
 
-    The history is written out once: every later step reads it again, each only a few columns.
-    Outsized properties are counted before the duplicates go, which costs one narrow scan instead of a
-    second duplicate removal.
+    The history and the features are written out once: every later step reads them again, each only a few columns.
     """
-    identified = add_property_id(cleaned)
-    hot = hot_keys(identified, ["property_id"])
-    df = add_sales_history(deduplicate_sales(identified), order="row_order", hot=hot)
-    df = stage_table(assign_segments(df), "history")
+    df = stage_table(assign_segments(resale_history(add_property_id(cleaned))), "history")
     df = impute_missing_values(assign_price_tiers(df))
-    df = engineer_features(df, cell_size, as_of_year)
+    df = stage_table(engineer_features(df, cell_size, as_of_year), "features")
     return assign_proxy_tiers(df, min_segment_rows=min_segment_rows)
 
 
