@@ -74,6 +74,16 @@ def test_a_unit_is_worked_out_once(rows):
     assert _optimized(df.select(F.coalesce(F.lit(None), unit_token(F.col("u"), False)).alias("t"))).count("upper(") == 1
 
 
+def test_loads_share_one_identified_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sales_queries.sinks, "load_run", lambda df, *_: seen.append(_optimized(df)))
+    monkeypatch.setattr(sales_queries.sinks, "finished_runs", lambda s, _: s.createDataFrame([("first", 1)], "run_id string, rows long"))
+    feed = spark.createDataFrame([(1, 10000.0)], "bbl long, sale_price double").withColumn("property_id", F.upper(F.lit("x")))
+    monkeypatch.setattr(V, "identified", lambda *_: feed.withColumn("property_id", F.regexp_replace(F.col("bbl").cast("string"), "1", "2")))
+    sales_queries.s8_runs(spark, "")
+    assert len(seen) == 3 and not any("regexp_replace" in p for p in seen)
+
+
 def test_near_duplicates_leave_no_staged_tables_behind(spark, rows):
     from valuary.llm import op4_minhash_dedup as op4
     from valuary.session import shared_dir
