@@ -91,7 +91,8 @@ def p33(spark, d):
 
 @check("p33_search_totals", f"select (select count(*) from {_FOUND}) as total_available, (select count(*) from {_CATALOGUE}) as total_catalog")
 def p33_totals(spark, d):
-    catalogue = catalog.build_catalogue(_untidy(spark, d))
+    catalogue = catalog.build_catalogue(_untidy(spark, d)).select("property_id", *catalog.SEARCHED)
+    catalogue = stage_table(catalogue, "catalogue")
     return catalog.search_totals(catalogue, catalog.search_properties(catalogue, " 7 Main", borough="queens"))
 
 

@@ -84,6 +84,39 @@ def test_loads_share_one_identified_table(spark, monkeypatch):
     assert len(seen) == 3 and not any("regexp_replace" in p for p in seen)
 
 
+RAW = "row_order long, property_id string, bbl string, address string, sale_date string, latitude string, longitude string, borough string"
+
+
+def test_catalogue_normalises_only_rows_that_stay(rows):
+    df = rows(
+        [
+            (1, " a ", "1", " ", "d", "40", "-73", "1"),
+            (2, " a ", "1", "x st", "d", "400", "-73", "2"),
+            (3, "a", "1", "y st", "d", "40", "-73", " staten  island "),
+            (4, "a ", "1", "z st", "d", "40", "-73", "4"),
+            (5, None, "1", "q st", "d", "40", "-73", "5"),
+        ],
+        RAW,
+    )
+    out = catalog.build_catalogue(df)
+    assert {(r["property_id"], r["row_order"], r["borough"]) for r in out.collect()} == {("a", 3, "STATEN_ISLAND"), ("1:Q ST:d", 5, "STATEN_ISLAND")}
+    plan = _optimized(out)
+    # The blanks inside keys are replaced above the window, so for the rows that stay.
+    assert plan.index("\\s+") < plan.index("Window")
+
+
+def test_search_totals_build_the_catalogue_once(spark, monkeypatch):
+    plans = []
+    totals = catalog.search_totals
+    monkeypatch.setattr(catalogue_queries.catalog, "search_totals", lambda c, f: plans.extend([_optimized(c), _optimized(f)]) or totals(c, f))
+    feed = spark.createDataFrame([(i, "1", 7, f"{i} main", date(2020, 1, 1), 40.0, -73.0, "4", "01") for i in range(6)],
+        "row_order long, property_id string, bbl long, address string, sale_date date, latitude double, longitude double, borough string, property_segment string")
+    monkeypatch.setattr(catalogue_queries, "_untidy", lambda *_: feed.withColumn("property_id", F.col("row_order").cast("string")))
+    got = catalogue_queries.p33_totals(spark, "").first().asDict()
+    assert got == {"total_available": 0, "total_catalog": 6}
+    assert len(plans) == 2 and not any("Window" in p for p in plans)
+
+
 def test_near_duplicates_leave_no_staged_tables_behind(spark, rows):
     from valuary.llm import op4_minhash_dedup as op4
     from valuary.session import shared_dir

@@ -22,6 +22,7 @@ PREVIEW_COLUMNS = (
     "lng",
     "data_quality_status",
 )
+SEARCHED = ("address", "borough", "property_segment")
 REQUIRED_FEATURES = ("gross_square_feet", "year_built", "total_units", "building_class")
 
 
@@ -33,17 +34,25 @@ def _raw(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def catalogue_records(df: DataFrame) -> DataFrame:
-    """Normalised catalogue rows; rows without usable coordinates or address are dropped."""
-    lat, lng = number_of(df, "latitude"), number_of(df, "longitude")
-    address = _text(df, "address")
+def _catalogue_id(df: DataFrame) -> Column:
+    """Property id, else one made of parcel, address and date."""
     fallback = F.concat_ws(
-        ":", F.coalesce(_text(df, "bbl"), F.lit("unknown_bbl")), F.upper(address), F.coalesce(_text(df, "sale_date"), F.lit("na"))
+        ":", F.coalesce(_text(df, "bbl"), F.lit("unknown_bbl")), F.upper(_text(df, "address")), F.coalesce(_text(df, "sale_date"), F.lit("na"))
     )
+    return F.coalesce(_text(df, "property_id"), fallback)
+
+
+def _usable(lat: Column, lng: Column, address: Column) -> Column:
+    return lat.between(-90, 90) & lng.between(-180, 180) & address.isNotNull()
+
+
+def catalogue_records(df: DataFrame) -> DataFrame:
+    """Normalised catalogue rows; rows without usable coordinates or address are dropped."""
+    lat, lng, address = number_of(df, "latitude"), number_of(df, "longitude"), _text(df, "address")
     sqft = number_of(df, "gross_square_feet")
     # Names that differ from the raw columns keep every expression bound to the raw values.
     new = {
-        "_property_id": F.coalesce(_text(df, "property_id"), fallback),
+        "_property_id": _catalogue_id(df),
         "_address": address,
         "_borough": borough_key(_raw(df, "borough")),
         "_zip_code": zip5(_raw(df, "zip_code")),
@@ -61,7 +70,7 @@ def catalogue_records(df: DataFrame) -> DataFrame:
     order = [c for c in ("row_order",) if c in df.columns]
     out = df.select(*[c.alias(n) for n, c in new.items()], *[F.col(c).alias(f"_{c}") for c in order])
     out = out.toDF(*[c.removeprefix("_") for c in out.columns])
-    out = out.where(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & F.col("address").isNotNull())
+    out = out.where(_usable(F.col("lat"), F.col("lng"), F.col("address")))
     checks = [F.col(c).isNotNull().cast("int") for c in (*REQUIRED_FEATURES, "sale_date")]
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in REQUIRED_FEATURES]))
     out = out.withColumns(
@@ -75,8 +84,12 @@ def catalogue_records(df: DataFrame) -> DataFrame:
 
 
 def build_catalogue(df: DataFrame, order: str = "row_order") -> DataFrame:
-    """Catalogue with one record per property id: the first in input order."""
-    return keep_first(catalogue_records(df), ["property_id"], [order])
+    """Catalogue with one record per property id: the first in input order.
+
+    The first row of an id is found by id and place alone; only rows that stay are normalised.
+    """
+    rows = df.where(_usable(number_of(df, "latitude"), number_of(df, "longitude"), _text(df, "address")))
+    return catalogue_records(keep_first(rows.withColumn("_id", _catalogue_id(df)), ["_id"], [order]).drop("_id"))
 
 
 def _matching(
@@ -108,7 +121,7 @@ def search_properties(
     if text:
         needle = F.lit(text)
         hit = F.lit(False)
-        for name in ("address", "borough", "property_segment"):
+        for name in SEARCHED:
             hit = hit | F.contains(F.lower(name), needle)
         out = out.where(hit)
     return out
