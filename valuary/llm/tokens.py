@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
 from valuary.llm.words import Codes, chunks, gather, parts_of
 
-
 MARKS = ".,;:!?$%&#*"
+# Python takes these four for blanks, the library's patterns don't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Texts are worked on in chunks of so many bytes: a worker stays, with its memory, through the stages that follow.
+CHUNK_TEXT = 2_000_000
 
 
 @lru_cache(maxsize=4)
@@ -46,46 +50,77 @@ class PieceMemory:
     """Ids of the pieces seen in this worker. Beyond `limit` pieces it keeps the half that was used most; it never
     changes a result."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         self.path, self.limit = path, limit
         self.codes, self.ids, self.lengths, self.uses = Codes(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.library = library_tokenizer(path)
-        self.letters = _byte_letters(self.library)
+        self.model = self.library.model
+        letters = _byte_letters(self.library)
+        self.blank_letter, self.letters = letters[" "], [letters.get(chr(b), "") for b in range(256)]
         # A run of marks behind a letter is a pre-token of its own. (No special string ends in one of these.)
         self.marks: dict[str, list[int]] = {}
         self.whole: dict[str, bool] = {}
+        self.lowers, self.plain = self._plain()
         self.blank = self._blank()
+        self.splits = self._splits()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _plain(self) -> tuple[bool, re.Pattern]:
+        """Whether the library's normaliser writes Latin letters small, and a pattern of those that it leaves alone otherwise."""
+        normalizer = self.library.normalizer
+        said = normalizer.normalize_str if normalizer else str
+        lowers = said("aB") == "ab"
+        letters = [c for c in map(chr, range(0x180)) if c.isalpha() and len(c.lower()) == 1 and (lowers or c.islower())]
+        return lowers, re.compile(f"[{''.join(c for c in letters if said(f'a{c}') == f'a{c.lower()}')}]+")
 
     def _blank(self) -> str | None:
-        """What a blank before a word of small letters becomes inside the model; None if words don't reach it whole."""
-        for mark in (self.letters[" "], ""):
-            if all(
-                self.library.encode(f" {w}", add_special_tokens=False).ids == self._word(mark, w)
-                for w in ("a", "the", "unheimlichkeit", "straße", "thth", "é", "ñandú")
-            ):
+        """What a blank before a plain word becomes inside the model; None if words don't reach it whole."""
+        words = ("a", "the", "unheimlichkeit", "straße", "thth", "é", "ñandú", *("The", "THth", "Élan", "aÑb") * self.lowers)
+        for mark in (self.blank_letter, ""):
+            if all(self._encode(f" {w}") == self._word(mark, w) for w in words):
                 return mark
         return None
 
+    def _splits(self) -> bool:
+        """Whether the library cuts at all blanks and drops them, so that a text is the sequence of its words."""
+        blanks = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in SEPARATORS]
+        left, right = ("", "a", "A.", "7", "'", "\u0301"), ("", "a", ".A", "7", "s", "\u0301a")
+        return self.blank == "" and all(
+            self._encode(f"{a}{b}{c}") == self._encode(a) + self._encode(f" {c}" if c else "")
+            for b in (*blanks, "  ", " \n", "\n\n", "\t ") for a in left for c in right
+        )
+
     def _word(self, mark: str, word: str) -> list[int]:
+        if self.lowers:
+            word = word.lower()
         if not word.isascii():
-            word = "".join(self.letters[chr(b)] for b in word.encode())
-        return [t.id for t in self.library.model.tokenize(mark + word)]
+            word = "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(mark + word)]
 
-    def _library(self, strings: list[str]) -> list[list[int]]:
-        """Ids of the strings. Plain words of small Latin letters go straight to the library's model: normalisers leave
-        them alone and they are one pre-token, which saves half of the time."""
-        found: list = [None] * len(strings)
+    def _library(self, pieces: list[str | tuple[str]]) -> list[list[int]]:
+        """Ids of the pieces. Plain words of Latin letters go straight to the library's model: but for their case,
+        normalisers leave them alone, and they are one pre-token, which saves half of the time."""
+        found: list = [None] * len(pieces)
         other = []
-        for i, s in enumerate(strings):
-            word = s[1:]
-            if self.blank is not None and s[:1] == " " and word.isalpha() and word.islower() and max(word) < "\u0180":
-                found[i] = self._word(self.blank, word)
+        plain, word, blank = self.plain.fullmatch, self._word, self.blank
+        for i, piece in enumerate(pieces):
+            if blank is not None and isinstance(piece, str) and plain(piece):
+                found[i] = word(blank, piece)
             else:
                 other.append(i)
-        for i, e in zip(other, self.library.encode_batch_fast([strings[i] for i in other], add_special_tokens=False)):
+        # A text's first piece is keyed as a tuple; the others stand for themselves behind a blank.
+        strings = [p[0] if isinstance(p := pieces[i], tuple) else f" {p}" for i in other]
+        for i, e in zip(other, self.library.encode_batch_fast(strings, add_special_tokens=False)):
             found[i] = e.ids
         return found
 
+    def _parts(self, text: str) -> list[str | tuple[str]]:
+        if self.splits and not any(c in text for c in SEPARATORS):
+            return text.split()
+        return parts_of(text)
+
     def _one_letter(self, letter: str) -> bool:
         """Whether the library's normaliser leaves a letter one letter (some lower-case forms end in a mark, which would
         join the marks behind it)."""
@@ -99,7 +134,7 @@ class PieceMemory:
         if marks not in self.marks:
             if len(self.marks) > 10_000:
                 self.marks.clear()
-            self.marks[marks] = self.library.encode(marks, add_special_tokens=False).ids
+            self.marks[marks] = self._encode(marks)
         return self.marks[marks]
 
     def _forget(self) -> None:
@@ -112,20 +147,22 @@ class PieceMemory:
         for i in kept.tolist():
             self.codes[keys[i]]
 
+    def _since(self, known: int) -> list[str | tuple[str]]:
+        """The pieces that were numbered from `known` on."""
+        return [*islice(reversed(self.codes), len(self.codes) - known)][::-1]
+
     def _learn(self, known: int) -> None:
         """Ids of the pieces that were numbered from `known` on. A piece with marks at its end is put together."""
         stems = {}
-        for code, key in enumerate(list(self.codes)[known:], known):
+        for code, key in enumerate(self._since(known), known):
             if isinstance(key, str) and not key[-1:].isalpha():
                 stem = key.rstrip(MARKS)
                 if stem != key and stem[-1:].isalpha() and stem[-1] < "\u0180" and self._one_letter(stem[-1]):
                     stems[code] = (self.codes[stem], key[len(stem) :])
-        fresh = list(self.codes)[known:]
-        plain = [i for i in range(len(fresh)) if known + i not in stems]
-        # A text's first piece is keyed as a tuple; the others stand for themselves behind a blank.
-        strings = [fresh[i][0] if isinstance(fresh[i], tuple) else " " + fresh[i] for i in plain]
+        fresh = self._since(known)
+        rest = [i for i in range(len(fresh)) if known + i not in stems]
         found: list = [None] * len(fresh)
-        for i, ids in zip(plain, self._library(strings)):
+        for i, ids in zip(rest, self._library([fresh[i] for i in rest])):
             found[i] = ids
         starts = np.cumsum(self.lengths) - self.lengths
         for code, (stem, tail) in stems.items():
@@ -142,7 +179,7 @@ class PieceMemory:
             self._forget()
         known = len(self.codes)
         place = self.codes.__getitem__
-        coded = [np.fromiter(map(place, parts_of(t)), np.int64) for t in texts]
+        coded = [np.fromiter(map(place, self._parts(t)), np.int64) for t in texts]
         if len(self.codes) > known:
             self._learn(known)
         starts = np.cumsum(self.lengths) - self.lengths
@@ -158,7 +195,7 @@ class PieceMemory:
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches with the ids of every text, each document closed by `end_id`."""
     end = np.array([end_id], np.uint32)
-    for rows, texts in chunks(batches):
+    for rows, texts in chunks(batches, CHUNK_TEXT):
         ids, counts = _memory(path).encode(texts)
         stops = np.cumsum(counts)
         yield rows, [np.concatenate([ids[b - n : b], end]) for b, n in zip(stops.tolist(), counts.tolist())]
