@@ -40,18 +40,35 @@ SEED_WORDS = 2
 CHUNK_TEXT = 5_000_000
 WINDOWS_PER_BUCKET = 1_500_000
 SLICE = 3_000_000
+HASHED_TEXT = 1_000_000
+HASHED_WORDS = 32_768
+LONG_WORD = 64
 LAST = np.iinfo(np.int64).max
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_THIRD = np.uint64(0x94D049BB133111EB)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mixed(left: np.ndarray, right: np.ndarray, multiplier: np.uint64) -> np.ndarray:
+    out = left * multiplier
+    out += right
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def _runs(h: np.ndarray, width: int, multiplier: np.uint64) -> np.ndarray:
-    """Hash of every run of `width` values (the last ones run over the end and are not used)."""
+    """Hash of every run of `width` values, put together from runs of 1, 2, 4, ... values."""
     n = max(0, len(h) - width + 1)
-    out = np.full(n, width, np.uint64)
-    for i in range(width):
-        out = (out + h[i : n + i]) * multiplier
-        out ^= out >> np.uint64(31)
+    out, have, part, size = None, 0, h, 1
+    while size <= width:
+        if width & size:
+            out = part[:n] if out is None else _mixed(out[:n], part[have : have + n], multiplier)
+            have += size
+        if 2 * size <= width:
+            m = max(0, len(part) - size)
+            part = _mixed(part[:m], part[size : size + m], multiplier)
+        size *= 2
     return out
 
 
@@ -66,60 +83,126 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _hashes(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word: the halves of one 128-bit hash."""
-    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
-    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
-
-
-def _first_of_equal(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows sorted by hash, and for each of them the smallest doc of its equals."""
+def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes starts and ends; they begin and end with blanks."""
+    blank = (data - np.uint8(0x09) < 5) | (data == 0x20)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    return edge[::2], edge[1::2]
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, eight bytes at a time; at least eight bytes follow the last word.
+    Those of a very long word are the halves of one 128-bit hash."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    length = ends - starts
+    h1, h2 = (length.astype(np.uint64) * m for m in (_OTHER, _MULTIPLIER))
+
+    def take(rows, at: int) -> None:
+        x = eights[starts[rows] + at] & _LOW_BYTES[np.minimum(length[rows] - at, 8)]
+        for h, m in ((h1, _MULTIPLIER), (h2, _OTHER)):
+            y = (h[rows] ^ x) * m
+            y ^= y >> np.uint64(32)
+            y *= _THIRD
+            y ^= y >> np.uint64(29)
+            h[rows] = y
+
+    for i in range(0, len(starts), HASHED_WORDS):
+        some = slice(i, i + HASHED_WORDS)
+        take(some, 0)
+        rows, at = i + np.flatnonzero((length[some] > 8) & (length[some] <= LONG_WORD)), 8
+        while len(rows):
+            take(rows, at)
+            at += 8
+            rows = rows[length[rows] > at]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h1[i], h2[i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i] : ends[i]]), np.uint64)
+    return h1, h2
+
+
+def _equals(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows whose hashes others have too, side by side; where each group of equals begins there, and its size."""
     order = np.argsort(h1)
-    a, b = h1[order], h2[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a = h1[order]
+    twin = np.flatnonzero(a[1:] == a[:-1])
+    member = np.zeros(len(a), bool)
+    member[twin] = True
+    member[twin + 1] = True
+    rows = order[member]
+    a, b = a[member], h2[rows]
+    new = np.ones(len(rows), bool)
+    new[1:] = a[1:] != a[:-1]
+    if ((b[1:] != b[:-1]) & ~new[1:]).any():
+        # Two different windows share the first hash.
+        again = np.lexsort((b, a))
+        rows, a, b = rows[again], a[again], b[again]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     heads = np.flatnonzero(new)
-    if not len(heads):
-        return order, doc[order]
-    return order, np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(order))))
+    return rows, heads, np.diff(np.append(heads, len(rows)))
 
 
-def _starts_to_spans(starts: np.ndarray) -> bytes:
-    """Window starts, ascending, as pairs (first start, how many in a row)."""
-    cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    heads = np.concatenate([[0], cut])
-    return np.column_stack([starts[heads], np.diff(np.append(heads, len(starts)))]).astype("<i4").tobytes()
+def _repeated(h1: np.ndarray, h2: np.ndarray, row: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The windows that a smaller doc holds too; `row` says which of the `doc` a window is of."""
+    rows, heads, sizes = _equals(h1, h2)
+    if not len(rows):
+        return rows
+    docs = doc[row[rows]]
+    return rows[docs > np.repeat(np.minimum.reduceat(docs, heads), sizes)]
 
 
 def _removal_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (doc_id, key, spans), a document at a time."""
+    """Rows (doc_id, key, spans), a document at a time; spans are pairs (first window start, how many in a row)."""
     if not len(doc):
         return
     order = np.lexsort((start, key, doc))
     doc, key, start = doc[order], key[order], start[order]
-    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(key) != 0)) + 1
-    for d, k, s in zip(doc[np.append(0, cut)].tolist(), key[np.append(0, cut)].tolist(), np.split(start, cut)):
-        yield d, k, _starts_to_spans(s)
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(key) != 0)
+    heads = np.flatnonzero(np.append(True, new[1:] | (np.diff(start) != 1)))
+    spans = np.column_stack([start[heads], np.diff(np.append(heads, len(start)))]).astype("<i4").tobytes()
+    first = np.flatnonzero(new)
+    cut = (8 * np.append(np.searchsorted(heads, first), len(heads))).tolist()
+    for d, k, a, b in zip(doc[first].tolist(), key[first].tolist(), cut, cut[1:]):
+        yield d, k, spans[a:b]
 
 
 def pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, windows: np.ndarray, codes: np.ndarray, words: list[bytes], press) -> bytes:
-    """Super-k-mers as one compressed string: their documents (in ascending order), places and words."""
+    """Super-k-mers as one compressed string: their documents (in ascending order), places and words. `codes` number
+    the `words`, which may be several words each."""
     text = b" ".join([words[c] for c in codes.tolist()])
     head = struct.pack("<q", len(doc))
     parts = [np.diff(doc, prepend=0).astype("<i8"), key.astype("<i8"), start.astype("<u4"), windows.astype("<u4")]
     return press.compress(head + b"".join(p.tobytes() for p in parts) + text)
 
 
-def unpack(blob: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unpacked(blob: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = press.decompress(blob)
     (n,) = struct.unpack_from("<q", raw)
     at, out = 8, []
     for kind in ("<i8", "<i8", "<u4", "<u4"):
         out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
         at += n * np.dtype(kind).itemsize
+    return np.cumsum(out[0]), *out[1:], raw[at:]
+
+
+def unpack(blob: bytes, press) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    *places, text = _unpacked(blob, press)
     vocabulary = Codes()
-    codes = np.fromiter(map(vocabulary.__getitem__, raw[at:].split(b" ")), np.int64)
-    return np.cumsum(out[0]), *out[1:], codes, list(vocabulary)
+    codes = np.fromiter(map(vocabulary.__getitem__, text.split()), np.int64)
+    return *places, codes, list(vocabulary)
+
+
+def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words in one string, where each starts and ends in it, and how many each text has. Long stretches of
+    blanks become short."""
+    raw = b"\n" + b"\n".join(texts) + b"\n" * 9
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = _bounds(data)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    lengths = np.diff(np.searchsorted(starts, np.append(1, 1 + np.cumsum(sizes + 1))))
+    if len(data) - (ends - starts).sum() > 2 * len(starts) + len(texts) + 10:
+        raw = b"\n" + b" ".join(raw.split()) + b"\n" * 9
+        starts, ends = _bounds(np.frombuffer(raw, np.uint8))
+    return raw, starts, ends, lengths
 
 
 def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
@@ -131,46 +214,42 @@ def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
 
         press = zstandard.ZstdCompressor(level=3)
         for rows, texts in chunks(batches, CHUNK_TEXT):
-            ids = [LAST if i is None else i for i in rows.column("doc_id").to_pylist()]
-            keys = rows.column("key").to_pylist()
-            by_id = sorted(range(len(ids)), key=ids.__getitem__)
-            vocabulary = Codes()
-            coded = [np.fromiter(map(vocabulary.__getitem__, texts[i].encode().split()), np.int64) for i in by_id]
-            lengths = np.array([len(c) for c in coded], np.int64)
-            codes = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-            if len(codes) < window:
+            ids = np.array([LAST if i is None else i for i in rows.column("doc_id").to_pylist()], np.int64)
+            by_id = np.argsort(ids, kind="stable")
+            ids, keys = ids[by_id], np.array(rows.column("key").to_pylist(), np.int64)[by_id]
+            raw, starts, ends, lengths = _joined([texts[i].encode() for i in by_id.tolist()])
+            n_windows = np.maximum(lengths - window + 1, 0)
+            if not n_windows.any():
                 continue
-            words = list(vocabulary)
-            h1, h2 = (h[codes] for h in _hashes(words))
+            h1, h2 = _hashes(np.frombuffer(raw, np.uint8), starts, ends)
             first = np.cumsum(lengths) - lengths
-            of = np.repeat(np.arange(len(coded)), lengths)
-            begin = np.flatnonzero(np.arange(len(codes)) + window <= (first + lengths)[of])
-            if not len(begin):
-                continue
+            begin = gather(np.arange(len(starts)), first, n_windows)
+            of = np.repeat(np.arange(len(ids), dtype=np.int32), n_windows)
             w1, w2 = _runs(h1, window, _MULTIPLIER)[begin], _runs(h2, window, _OTHER)[begin]
             least = _sliding_min(_runs(h1, SEED_WORDS, _OTHER), window - SEED_WORDS + 1)[begin]
-            doc_of = np.array(ids, np.int64)[by_id][of[begin]]
-            key_of = np.array(keys, np.int64)[by_id][of[begin]]
-            start_of = begin - first[of[begin]]
-            order, owner = _first_of_equal(w1, w2, doc_of)
+            del h1, h2
             repeated = np.zeros(len(begin), bool)
-            repeated[order] = doc_of[order] > owner
-            out = [((d ^ k) % buckets, None, d, k, s, 0) for d, k, s in _removal_rows(doc_of[repeated], key_of[repeated], start_of[repeated])]
+            repeated[_repeated(w1, w2, of, ids)] = True
+            del w1, w2
+            gone, start_of = of[repeated], begin - first[of]
+            out = [((d ^ k) % buckets, None, d, k, s, 0) for d, k, s in _removal_rows(ids[gone], keys[gone], start_of[repeated])]
             # Runs of windows that go on, stand side by side and share a minimiser.
             go = np.flatnonzero(~repeated)
             if len(go):
                 new = np.ones(len(go), bool)
-                new[1:] = (np.diff(begin[go]) != 1) | (np.diff(of[begin[go]]) != 0) | (least[go][1:] != least[go][:-1])
+                new[1:] = (np.diff(begin[go]) != 1) | (np.diff(of[go]) != 0) | (least[go][1:] != least[go][:-1])
                 heads = np.flatnonzero(new)
                 windows = np.diff(np.append(heads, len(go)))
                 at = go[heads]
                 bucket = (least[at] % np.uint64(buckets)).astype(np.int64)
                 by_bucket = np.argsort(bucket, kind="stable")
                 at, windows, bucket = at[by_bucket], windows[by_bucket], bucket[by_bucket]
+                last = ends[begin[at] + windows + window - 2].tolist()
+                pieces = [raw[i:j] for i, j in zip(starts[begin[at]].tolist(), last)]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for part in np.split(np.arange(len(at)), cuts):
                     a, n = at[part], windows[part]
-                    blob = pack(doc_of[a], key_of[a], start_of[a], n, gather(codes, begin[a], n + window - 1), words, press)
+                    blob = pack(ids[of[a]], keys[of[a]], start_of[a], n, part, pieces, press)
                     out.append((int(bucket[part[0]]), blob, None, None, None, int(n.sum())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -179,24 +258,39 @@ def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
 
 
 def _windows(blobs: list[bytes], window: int, part: int, parts: int) -> list[np.ndarray]:
-    """(hash, other hash, doc, key, start) of all windows in the blobs whose hash falls into the slice."""
+    """(hash, other hash, super-k-mer, start) of all windows in the blobs whose hash falls into the slice, and (doc, key)
+    of the super-k-mers. Blobs are hashed together up to `HASHED_TEXT` bytes."""
     import zstandard
 
-    press, found = zstandard.ZstdDecompressor(), []
-    for blob in blobs:
-        doc, key, start, n, codes, words = unpack(blob, press)
-        h1, h2 = (h[codes] for h in _hashes(words))
-        lengths = n + window - 1
-        first = np.cumsum(lengths) - lengths
-        begin = gather(np.arange(len(codes)), first, n)
+    press, found, places, before = zstandard.ZstdDecompressor(), [], [], 0
+
+    def hashed(held: list[tuple]) -> None:
+        nonlocal before
+        doc, key, start, n = (np.concatenate(x) for x in list(zip(*held))[:4])
+        data = np.frombuffer(b"".join([b" ", b" ".join([h[4] for h in held]), b" " * 9]), np.uint8)
+        h1, h2 = _hashes(data, *_bounds(data))
+        first = np.cumsum(n + window - 1) - (n + window - 1)
+        begin = gather(np.arange(len(h1)), first, n)
         row = np.repeat(np.arange(len(n)), n)
-        w1, w2 = _runs(h1, window, _MULTIPLIER)[begin], _runs(h2, window, _OTHER)[begin]
-        each = [w1, w2, doc[row], key[row], start[row] + begin - first[row]]
+        each = [_runs(h1, window, _MULTIPLIER)[begin], _runs(h2, window, _OTHER)[begin], (before + row).astype(np.int32), start[row] + begin - first[row]]
+        each[3] = each[3].astype(np.int32)
         if parts > 1:
-            mine = w1 % np.uint64(parts) == part
+            mine = each[0] % np.uint64(parts) == part
             each = [x[mine] for x in each]
         found.append(each)
-    return [np.concatenate(x) for x in zip(*found)]
+        places.append((doc, key))
+        before += len(n)
+
+    held, size = [], 0
+    for blob in blobs:
+        held.append(_unpacked(blob, press))
+        size += len(held[-1][4])
+        if size >= HASHED_TEXT:
+            hashed(held)
+            held, size = [], 0
+    if held:
+        hashed(held)
+    return [np.concatenate(x) for x in (*zip(*found), *zip(*places))]
 
 
 def repeated_windows(dealt: DataFrame, window: int) -> DataFrame:
@@ -206,10 +300,9 @@ def repeated_windows(dealt: DataFrame, window: int) -> DataFrame:
     def settle(blobs: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
         parts = -(-size // SLICE)
         for part in range(parts):
-            w1, w2, doc, key, start = _windows(blobs, window, part, parts)
-            order, owner = _first_of_equal(w1, w2, doc)
-            hit = order[doc[order] > owner]
-            out = [*_removal_rows(doc[hit], key[hit], start[hit])]
+            w1, w2, row, start, doc, key = _windows(blobs, window, part, parts)
+            hit = _repeated(w1, w2, row, doc)
+            out = [*_removal_rows(doc[row[hit]], key[row[hit]], start[hit])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
