@@ -9,6 +9,7 @@ import pytest
 import zstandard
 
 from valuary.llm import op8_substring_dedup as op8
+from valuary.llm import words as words_module
 from tests.llm.test_text_operators import prose, repeats_by_hand
 
 
@@ -21,14 +22,14 @@ def texts(rng):
 
 @pytest.mark.parametrize("block", [7, 32_768])
 def test_words_and_their_hashes_are_those_of_split(monkeypatch, block):
-    monkeypatch.setattr(op8, "HASHED_WORDS", block)
+    monkeypatch.setattr(words_module, "HASHED_WORDS", block)
     some = [t.encode() for t in texts(random.Random(1))]
     raw, starts, ends, lengths = op8._joined(some)
     words = [w for t in some for w in t.split()]
     assert [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())] == words
     assert lengths.tolist() == [len(t.split()) for t in some]
     found = [defaultdict(set), defaultdict(set)]
-    for h, of in zip(op8._hashes(np.frombuffer(raw, np.uint8), starts, ends), found):
+    for h, of in zip(op8.byte_hashes(np.frombuffer(raw, np.uint8), starts, ends), found):
         for word, x in zip(words, h.tolist()):
             of[word].add(x)
     for of in found:

@@ -26,13 +26,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuary.llm import sql
 from valuary.llm.registry import query, table
-from valuary.llm.words import Codes, chunks, gather
+from valuary.llm.words import Codes, byte_hashes, chunks, gather, word_bounds
 from valuary.session import lookup_join
 
 WINDOW = 13
@@ -41,13 +40,9 @@ CHUNK_TEXT = 5_000_000
 WINDOWS_PER_BUCKET = 1_500_000
 SLICE = 3_000_000
 HASHED_TEXT = 1_000_000
-HASHED_WORDS = 32_768
-LONG_WORD = 64
 LAST = np.iinfo(np.int64).max
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-_THIRD = np.uint64(0x94D049BB133111EB)
-_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(left: np.ndarray, right: np.ndarray, multiplier: np.uint64) -> np.ndarray:
@@ -83,42 +78,6 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of the bytes starts and ends; they begin and end with blanks."""
-    blank = (data - np.uint8(0x09) < 5) | (data == 0x20)
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    return edge[::2], edge[1::2]
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word, eight bytes at a time; at least eight bytes follow the last word.
-    Those of a very long word are the halves of one 128-bit hash."""
-    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    length = ends - starts
-    h1, h2 = (length.astype(np.uint64) * m for m in (_OTHER, _MULTIPLIER))
-
-    def take(rows, at: int) -> None:
-        x = eights[starts[rows] + at] & _LOW_BYTES[np.minimum(length[rows] - at, 8)]
-        for h, m in ((h1, _MULTIPLIER), (h2, _OTHER)):
-            y = (h[rows] ^ x) * m
-            y ^= y >> np.uint64(32)
-            y *= _THIRD
-            y ^= y >> np.uint64(29)
-            h[rows] = y
-
-    for i in range(0, len(starts), HASHED_WORDS):
-        some = slice(i, i + HASHED_WORDS)
-        take(some, 0)
-        rows, at = i + np.flatnonzero((length[some] > 8) & (length[some] <= LONG_WORD)), 8
-        while len(rows):
-            take(rows, at)
-            at += 8
-            rows = rows[length[rows] > at]
-    for i in np.flatnonzero(length > LONG_WORD).tolist():
-        h1[i], h2[i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i] : ends[i]]), np.uint64)
-    return h1, h2
-
-
 def _equals(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows whose hashes others have too, side by side; where each group of equals begins there, and its size."""
     order = np.argsort(h1)
@@ -196,12 +155,12 @@ def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
     blanks become short."""
     raw = b"\n" + b"\n".join(texts) + b"\n" * 9
     data = np.frombuffer(raw, np.uint8)
-    starts, ends = _bounds(data)
+    starts, ends = word_bounds(data)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     lengths = np.diff(np.searchsorted(starts, np.append(1, 1 + np.cumsum(sizes + 1))))
     if len(data) - (ends - starts).sum() > 2 * len(starts) + len(texts) + 10:
         raw = b"\n" + b" ".join(raw.split()) + b"\n" * 9
-        starts, ends = _bounds(np.frombuffer(raw, np.uint8))
+        starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
     return raw, starts, ends, lengths
 
 
@@ -221,7 +180,7 @@ def super_kmers(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             n_windows = np.maximum(lengths - window + 1, 0)
             if not n_windows.any():
                 continue
-            h1, h2 = _hashes(np.frombuffer(raw, np.uint8), starts, ends)
+            h1, h2 = byte_hashes(np.frombuffer(raw, np.uint8), starts, ends)
             first = np.cumsum(lengths) - lengths
             begin = gather(np.arange(len(starts)), first, n_windows)
             of = np.repeat(np.arange(len(ids), dtype=np.int32), n_windows)
@@ -268,7 +227,7 @@ def _windows(blobs: list[bytes], window: int, part: int, parts: int) -> list[np.
         nonlocal before
         doc, key, start, n = (np.concatenate(x) for x in list(zip(*held))[:4])
         data = np.frombuffer(b"".join([b" ", b" ".join([h[4] for h in held]), b" " * 9]), np.uint8)
-        h1, h2 = _hashes(data, *_bounds(data))
+        h1, h2 = byte_hashes(data, *word_bounds(data))
         first = np.cumsum(n + window - 1) - (n + window - 1)
         begin = gather(np.arange(len(h1)), first, n)
         row = np.repeat(np.arange(len(n)), n)

@@ -6,18 +6,21 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from valuary.llm.words import Codes, chunks, gather, parts_of
+from valuary.llm.words import byte_hashes, chunks, gather
 
 MARKS = ".,;:!?$%&#*"
 # Python takes these four for blanks, the library's patterns don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 # Texts are worked on in chunks of so many bytes: a worker stays, with its memory, through the stages that follow.
 CHUNK_TEXT = 2_000_000
+_MARK = np.isin(np.arange(256), list(MARKS.encode()))
+# The blanks of more than one byte.
+_WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 @lru_cache(maxsize=4)
@@ -47,22 +50,25 @@ def _memory(path: str) -> "PieceMemory":
 
 
 class PieceMemory:
-    """Ids of the pieces seen in this worker. Beyond `limit` pieces it keeps the half that was used most; it never
-    changes a result."""
+    """Ids of the pieces seen in this worker, by the 128-bit hash of their bytes. Beyond `limit` pieces it keeps the half
+    that was used most; it never changes a result."""
 
     def __init__(self, path: str, limit: int = 250_000):
         self.path, self.limit = path, limit
-        self.codes, self.ids, self.lengths, self.uses = Codes(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Two halves of each hash, sorted by the first, and the number of its piece.
+        self.h1, self.h2, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.lengths, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.library = library_tokenizer(path)
         self.model = self.library.model
         letters = _byte_letters(self.library)
         self.blank_letter, self.letters = letters[" "], [letters.get(chr(b), "") for b in range(256)]
-        # A run of marks behind a letter is a pre-token of its own. (No special string ends in one of these.)
-        self.marks: dict[str, list[int]] = {}
-        self.whole: dict[str, bool] = {}
         self.lowers, self.plain = self._plain()
         self.blank = self._blank()
+        self.bare = all(self._encode(w) == self._word("", w) for w in self._samples())
         self.splits = self._splits()
+        self.closes = np.zeros((256, 256), bool)
+        self.lines = False
+        self._ask_cuts()
 
     def _encode(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -72,14 +78,16 @@ class PieceMemory:
         normalizer = self.library.normalizer
         said = normalizer.normalize_str if normalizer else str
         lowers = said("aB") == "ab"
-        letters = [c for c in map(chr, range(0x180)) if c.isalpha() and len(c.lower()) == 1 and (lowers or c.islower())]
-        return lowers, re.compile(f"[{''.join(c for c in letters if said(f'a{c}') == f'a{c.lower()}')}]+")
+        letters = [c for c in map(chr, range(0x180)) if c.isalpha() and (len(c.lower()) == 1 or not lowers)]
+        return lowers, re.compile(f"[{''.join(c for c in letters if said(f'a{c}') == (f'a{c.lower()}' if lowers else f'a{c}'))}]+")
+
+    def _samples(self) -> tuple[str, ...]:
+        return "a", "the", "unheimlichkeit", "straße", "thth", "é", "ñandú", "The", "THth", "Élan", "aÑb"
 
     def _blank(self) -> str | None:
         """What a blank before a plain word becomes inside the model; None if words don't reach it whole."""
-        words = ("a", "the", "unheimlichkeit", "straße", "thth", "é", "ñandú", *("The", "THth", "Élan", "aÑb") * self.lowers)
         for mark in (self.blank_letter, ""):
-            if all(self._encode(f" {w}") == self._word(mark, w) for w in words):
+            if all(self._encode(f" {w}") == self._word(mark, w) for w in self._samples()):
                 return mark
         return None
 
@@ -99,77 +107,97 @@ class PieceMemory:
             word = "".join([self.letters[b] for b in word.encode()])
         return [t.id for t in self.model.tokenize(mark + word)]
 
-    def _library(self, pieces: list[str | tuple[str]]) -> list[list[int]]:
+    def _ask_cuts(self) -> None:
+        """Asks the library whether texts may be cut between a letter and a mark, and around a single line break. Letters
+        whose lower-case form ends in a mark, which joins the marks behind it, aren't cut from them."""
+        encode = self._encode
+        rights = ("", "b", ".A", "7", "'s", "é", "\u0301a", " b", "\n", "$")
+        lefts = ("a", " the", "A", "é", "ß", "x1a")
+        if all(encode(a + m + b) == encode(a) + encode(m + b) for a in lefts for m in MARKS for b in rights):
+            normalizer = self.library.normalizer
+            for c in filter(str.isalpha, map(chr, range(0x180))):
+                said = normalizer.normalize_str(f"a{c}") if normalizer else f"a{c}"
+                if len(said) == 2 and said.isalpha():
+                    *lead, last = c.encode()
+                    self.closes[lead[0] if lead else slice(None), last] = True
+        self.lines = all(encode(f"{a}\n{b}") == encode(a) + encode("\n") + encode(b) for a in (*lefts, "A.", "7", "'") for b in rights[1:7])
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        cut = self._cut(special)[3].tolist()
+        asked, self.closes, self.lines = (self.closes, self.lines), np.zeros((256, 256), bool), False
+        if cut == self._cut(special)[3].tolist():
+            self.closes, self.lines = asked
+
+    def _library(self, pieces: list[str]) -> list[list[int]]:
         """Ids of the pieces. Plain words of Latin letters go straight to the library's model: but for their case,
         normalisers leave them alone, and they are one pre-token, which saves half of the time."""
         found: list = [None] * len(pieces)
         other = []
-        plain, word, blank = self.plain.fullmatch, self._word, self.blank
+        plain, word, blank, bare, splits = self.plain.fullmatch, self._word, self.blank, self.bare, self.splits
         for i, piece in enumerate(pieces):
-            if blank is not None and isinstance(piece, str) and plain(piece):
-                found[i] = word(blank, piece)
-            else:
-                other.append(i)
-        # A text's first piece is keyed as a tuple; the others stand for themselves behind a blank.
-        strings = [p[0] if isinstance(p := pieces[i], tuple) else f" {p}" for i in other]
+            if splits:
+                if plain(piece):
+                    found[i] = word(blank, piece)
+                    continue
+            elif piece[:1] == " ":
+                if blank is not None and plain(piece, 1):
+                    found[i] = word(blank, piece[1:])
+                    continue
+            elif bare and plain(piece):
+                found[i] = word("", piece)
+                continue
+            other.append(i)
+        strings = [f" {pieces[i]}" if splits else pieces[i] for i in other]
         for i, e in zip(other, self.library.encode_batch_fast(strings, add_special_tokens=False)):
             found[i] = e.ids
         return found
 
-    def _parts(self, text: str) -> list[str | tuple[str]]:
-        if self.splits and not any(c in text for c in SEPARATORS):
-            return text.split()
-        return parts_of(text)
-
-    def _one_letter(self, letter: str) -> bool:
-        """Whether the library's normaliser leaves a letter one letter (some lower-case forms end in a mark, which would
-        join the marks behind it)."""
-        if letter not in self.whole:
-            normalizer = self.library.normalizer
-            said = normalizer.normalize_str(f"a{letter}") if normalizer else f"a{letter}"
-            self.whole[letter] = len(said) == 2 and said.isalpha()
-        return self.whole[letter]
-
-    def _tail(self, marks: str) -> list[int]:
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[marks] = self._encode(marks)
-        return self.marks[marks]
+    def _cut(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes in one string, where each piece starts and ends in it, and how many each text has.
+
+        Where the library drops all blanks, pieces are the words; otherwise a text is cut in front of each single blank
+        between two other characters and around such a line break. Marks are cut from the letter before them. No
+        pre-token crosses such a place."""
+        coded = [t.encode() for t in texts]
+        raw = b"\n\n" + b"\n\n".join(coded) + b"\n" * 10
+        data = np.frombuffer(raw, np.uint8)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        begin = 2 + np.cumsum(sizes + 2) - (sizes + 2)
+        blank = (data - np.uint8(0x09) < 5) | (data == 0x20)
+        if not raw.isascii():
+            for m in _WIDE_BLANK.finditer(raw):
+                blank[m.start() : m.end()] = True
+        marks = np.flatnonzero(_MARK[data])
+        marks = marks[self.closes[data[marks - 2], data[marks - 1]]]
+        if self.splits:
+            edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+            starts, ends = (np.sort(np.concatenate([x, marks])) for x in (edge[::2], edge[1::2]))
+        else:
+            alone = 1 + np.flatnonzero(blank[1:-1] & ~blank[:-2] & ~blank[2:])
+            line = alone[data[alone] == 0x0A] if self.lines else alone[:0]
+            starts = np.sort(np.concatenate([begin[sizes > 0], alone[data[alone] == 0x20], line, line + 1, marks]))
+            ends = np.append(starts[1:], 0)[: len(starts)]
+            some = sizes > 0
+            ends[np.searchsorted(starts, (begin + sizes)[some]) - 1] = (begin + sizes)[some]
+        return raw, starts, ends, np.diff(np.searchsorted(starts, np.append(begin, len(raw))))
 
     def _forget(self) -> None:
         kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
-        keys = list(self.codes)
         starts = np.cumsum(self.lengths) - self.lengths
         self.ids = gather(self.ids, starts[kept], self.lengths[kept])
+        number = np.full(len(self.lengths), -1)
+        number[kept] = np.arange(len(kept))
+        codes = number[self.codes]
+        self.h1, self.h2, self.codes = (x[codes >= 0] for x in (self.h1, self.h2, codes))
         self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
-        self.codes = Codes()
-        for i in kept.tolist():
-            self.codes[keys[i]]
-
-    def _since(self, known: int) -> list[str | tuple[str]]:
-        """The pieces that were numbered from `known` on."""
-        return [*islice(reversed(self.codes), len(self.codes) - known)][::-1]
-
-    def _learn(self, known: int) -> None:
-        """Ids of the pieces that were numbered from `known` on. A piece with marks at its end is put together."""
-        stems = {}
-        for code, key in enumerate(self._since(known), known):
-            if isinstance(key, str) and not key[-1:].isalpha():
-                stem = key.rstrip(MARKS)
-                if stem != key and stem[-1:].isalpha() and stem[-1] < "\u0180" and self._one_letter(stem[-1]):
-                    stems[code] = (self.codes[stem], key[len(stem) :])
-        fresh = self._since(known)
-        rest = [i for i in range(len(fresh)) if known + i not in stems]
-        found: list = [None] * len(fresh)
-        for i, ids in zip(rest, self._library([fresh[i] for i in rest])):
-            found[i] = ids
-        starts = np.cumsum(self.lengths) - self.lengths
-        for code, (stem, tail) in stems.items():
-            of_stem = found[stem - known] if stem >= known else self.ids[starts[stem] : starts[stem] + self.lengths[stem]].tolist()
-            found[code - known] = of_stem + self._tail(tail)
+
+    def _learn(self, h1: np.ndarray, h2: np.ndarray, pieces: list[str]) -> None:
+        found = self._library(pieces)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        codes = np.concatenate([self.codes, len(self.lengths) + np.arange(len(found))])
+        h1, h2 = np.concatenate([self.h1, h1]), np.concatenate([self.h2, h2])
+        order = np.argsort(h1)
+        self.h1, self.h2, self.codes = h1[order], h2[order], codes[order]
         self.ids, self.lengths = np.concatenate([self.ids, flat]), np.concatenate([self.lengths, lengths])
         self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
 
@@ -177,19 +205,33 @@ class PieceMemory:
         """Ids of all texts, one after another, and how many each has."""
         if len(self.codes) > self.limit:
             self._forget()
-        known = len(self.codes)
-        place = self.codes.__getitem__
-        coded = [np.fromiter(map(place, self._parts(t)), np.int64) for t in texts]
-        if len(self.codes) > known:
-            self._learn(known)
-        starts = np.cumsum(self.lengths) - self.lengths
-        order = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-        self.uses += np.bincount(order, minlength=len(self.uses))
-        per_piece = self.lengths[order]
-        ids = gather(self.ids, starts[order], per_piece)
+        raw, starts, ends, counts = self._cut(texts)
+        h1, h2 = byte_hashes(np.frombuffer(raw, np.uint8), starts, ends)
+        order = np.argsort(h1)
+        h1, h2 = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        heads = np.flatnonzero(new)
+        h1, h2, first = h1[heads], h2[heads], order[heads]
+        code, known = np.zeros(len(heads), np.int64), np.zeros(len(heads), bool)
+        if len(self.h1):
+            at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+            known = (self.h1[at] == h1) & (self.h2[at] == h2)
+            code = self.codes[at]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            # In the order in which the texts hold them.
+            fresh = fresh[np.argsort(first[fresh])]
+            code[fresh] = len(self.lengths) + np.arange(len(fresh))
+            places = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())
+            self._learn(h1[fresh], h2[fresh], [raw[a:b].decode() for a, b in places])
+        piece = np.empty(len(order), np.int64)
+        piece[order] = np.repeat(code, np.diff(np.append(heads, len(order))))
+        self.uses += np.bincount(piece, minlength=len(self.uses))
+        per_piece = self.lengths[piece]
+        ids = gather(self.ids, (np.cumsum(self.lengths) - self.lengths)[piece], per_piece)
         sums = np.concatenate([[0], np.cumsum(per_piece)])
-        ends = np.cumsum([len(c) for c in coded]).astype(np.int64)
-        return ids, np.diff(sums[np.concatenate([[0], ends])])
+        return ids, np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
